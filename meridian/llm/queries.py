@@ -1,11 +1,14 @@
 """The registered queries of the training-data operators, and their SQL where SQL can say it."""
 
-from meridian.llm import quality_rules
+from meridian.llm import mixing, quality_rules, sharding
 
 QUERIES = {
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op5_mixing": mixing.op5_mixing,
+    "op9_sharding": sharding.op9_sharding,
 }
 
 SQL = {
     "op4_quality_rules": quality_rules.OP4_SQL,
+    "op5_mixing": mixing.OP5_SQL,
 }
