@@ -1,10 +1,14 @@
 """The registered queries of the training-data operators, and their SQL where SQL can say it."""
 
-from meridian.llm import mixing, quality_rules, sharding
+from meridian.llm import embedding_dedup, mixing, packing, quality_rules, sharding, simhash, token_output
 
 QUERIES = {
+    "op1_simhash": simhash.op1_simhash,
+    "op2_embedding_dedup": embedding_dedup.op2_embedding_dedup,
+    "op3_packing": packing.op3_packing,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_mixing": mixing.op5_mixing,
+    "op8_token_output": token_output.op8_token_output,
     "op9_sharding": sharding.op9_sharding,
 }
 
