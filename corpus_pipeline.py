@@ -1,10 +1,85 @@
-"""Corpus pipeline: quality rules, line dedup, near-dedup, mixing, packing, each a table in and a table out."""
+"""From raw documents to packed training sequences, in five stages.
 
-from meridian.llm import quality_rules
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; its rows are written as Parquet and read
+again as the next stage's docs. All but the last return the columns of ``documents``.
+"""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from meridian.llm import line_dedup, mixing, packing, quality_rules, simhash
+from meridian.llm.common import materialize, n_words
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _with_length(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the quality rules; null texts have no words and go."""
+    return quality_rules.apply_rules(docs.select(COLUMNS)).where("kept").select(COLUMNS)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that stand (nearly) equal in an earlier place; a document
+    that is left without a word, because others hold all of its lines, goes."""
+    cleaned = line_dedup.dedup_lines(docs.select(COLUMNS))
+    emptied = (F.col("n_repeated") + F.col("n_near") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    return _with_length(cleaned.where(~F.coalesce(emptied, F.lit(False))))
+
+
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near-duplicates.
+
+    Rows with equal ids count as one document. A document without id goes by a large number
+    made from its text, so it stays only if no document with an id is near it.
+    """
+    unnamed = F.lit(1 << 62) + F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit((1 << 62) - 1))
+    named = docs.select(COLUMNS).withColumn("_id", F.coalesce("doc_id", unnamed))
+    groups = simhash.near_duplicates(named, "_id")
+    first = groups.where("_id = component_id").select("_id").distinct()
+    return named.join(first, "_id", "left_semi").dropDuplicates(["_id"]).select(COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as often as the mix takes them, shard by shard in the shuffled order; of a
+    source's last document the mix may take only leading words.
+
+    Rows with equal id and number of words count as copies of one text.
+    """
+    pieces = mixing.mix(docs.select(COLUMNS)).where("copy is not null")
+    pieces = pieces.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "words", "shard", "shuffle_key")
+    texts = docs.select(COLUMNS).withColumn("_size", n_words(F.col("text"))).where("_size > 0")
+    texts = texts.dropDuplicates(["doc_id", "_size"])
+    taken = texts.join(pieces, texts["doc_id"].eqNullSafe(pieces["_id"]) & (texts["_size"] == pieces["_size"]))
+    text = F.when(F.col("words") == texts["_size"], F.col("text")).otherwise(mixing.take_words(F.col("text"), F.col("words")))
+    dealt = taken.withColumn("text", text).repartition("shard", F.shiftrightunsigned("shuffle_key", 58))
+    return _with_length(dealt.sortWithinPartitions("shard", "shuffle_key"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where every word of every document goes in the training sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_rules", keep_good),
+    ("line_dedup", dedup_lines),
+    ("simhash_near_dedup", dedup_documents),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: SimHash and the seeded order of the mix are not SQL; a plain Python version is in tests/llm.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
