@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.common import materialize
+from meridian.llm.common import discard, materialize
 
 #: Lines with fewer words are left alone, and lines with fewer words match only when equal:
 #: one edit in this many words keeps 7/8 of the line.
@@ -122,11 +122,11 @@ def variant_rows(lines: DataFrame) -> DataFrame:
                 take = pa.array(np.concatenate(rows))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(pos).astype(np.int32)),
-                     *[part.column(c).take(take) for c in ("first_id", "first_line", "h1", "h2")]],
-                    names=["key", "pos", "first_id", "first_line", "h1", "h2"],
+                     part.column("first_id").take(take), part.column("first_line").take(take)],
+                    names=["key", "pos", "first_id", "first_line"],
                 )
 
-    return lines.mapInArrow(run, "key long, pos int, first_id long, first_line int, h1 long, h2 long")
+    return lines.mapInArrow(run, "key long, pos int, first_id long, first_line int")
 
 
 def within_one_edit(a: list, b: list) -> bool:
@@ -145,53 +145,56 @@ def _verified(pairs: DataFrame) -> DataFrame:
         for batch in batches:
             a, b = (batch.column(c).to_pylist() for c in ("text", "other_text"))
             ok = [within_one_edit(x.encode().split(), y.encode().split()) for x, y in zip(a, b, strict=True)]
-            yield batch.select(["h1", "h2"]).filter(pa.array(ok, pa.bool_()))
+            yield batch.select(["first_id", "first_line"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.mapInArrow(run, "h1 long, h2 long")
+    return pairs.mapInArrow(run, "first_id long, first_line int")
 
 
 def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """Hashes (h1, h2) of the lines of ``distinct`` that have an earlier line within one word edit.
+    """Places (first_id, first_line) of the lines of ``distinct`` that have an earlier line within one word edit.
 
     Only lines that share a half with another line can have one, so only these write their
-    deletion neighbourhood. Lines that lose the same place to the same rest differ by a
-    substitution; a line equal to another's variant differs by a deletion. Per key only the earliest
-    line is kept (a minimum, so a key that very many lines share costs one row) and joined
-    back; the pair is then verified on its words.
+    deletion neighbourhood, and of that only keys that occur twice go on. Lines that lose the same
+    place to the same rest differ by a substitution; a line equal to another's variant differs by a
+    deletion. Per key only the earliest line is kept (a minimum, so a key that very many lines
+    share costs one row) and joined back; the pair is then verified on its words.
     """
-    halves = distinct.select("h1", "h2", F.explode(F.array("k1", "k2", "k3", "k4")).alias("half")).where("half is not null")
+    halves = distinct.select("first", F.explode(F.array("k1", "k2", "k3", "k4")).alias("half")).where("half is not null")
     shared = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
-    candidates = halves.join(shared, "half", "left_semi").select("h1", "h2").distinct()
-    candidates = distinct.join(candidates, ["h1", "h2"]).select("h1", "h2", "first.id", "first.line")
-    by_doc = candidates.groupBy("id").agg(F.collect_list(F.struct("line", "h1", "h2")).alias("want"))
+    candidates = halves.join(shared, "half", "left_semi").select("first.id", "first.line").distinct()
+    by_doc = candidates.groupBy("id").agg(F.collect_list("line").alias("want"))
     texts = (
         docs.select(F.coalesce("id", F.lit(LAST)).alias("id"), "text")
         .join(by_doc, "id")
-        .select("id", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"), F.explode("want").alias("w"))
-        .select(F.col("id").alias("first_id"), F.col("w.line").alias("first_line"), "w.h1", "w.h2", F.get("lines", F.col("w.line")).alias("text"))
-        .dropDuplicates(["h1", "h2"])
+        .select("id", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"), F.explode("want").alias("line"))
+        .select(F.col("id").alias("first_id"), F.col("line").alias("first_line"), F.get("lines", F.col("line")).alias("text"))
         .where("text is not null")
     )
     texts = materialize(texts, "candidate-lines")
-    variants = materialize(variant_rows(texts), "variants")
-    order = F.struct("first_id", "first_line", "h1", "h2")
-    least = F.min(order).alias("least")
+    variants = variant_rows(texts)
+    twice = variants.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    variants = materialize(variants.join(twice, "key", "left_semi"), "variants")
+    own = F.struct("first_id", "first_line")
+    least = F.min(own).alias("least")
     places = variants.where("pos >= 0").groupBy("key", "pos").agg(least, F.count("*").alias("n")).where("n > 1").drop("n")
     rests = variants.groupBy("key").agg(
-        F.min(F.when(F.col("pos") < 0, order)).alias("whole"), F.min(F.when(F.col("pos") >= 0, order)).alias("part")
+        F.min(F.when(F.col("pos") < 0, own)).alias("whole"), F.min(F.when(F.col("pos") >= 0, own)).alias("part")
     ).where("whole is not null and part is not null")
-    found = variants.join(places, ["key", "pos"]).select(order.alias("own"), "least").unionByName(
-        variants.join(rests, "key").select(order.alias("own"), F.when(F.col("pos") < 0, F.col("part")).otherwise(F.col("whole")).alias("least"))
+    found = variants.join(places, ["key", "pos"]).select(own.alias("own"), "least").unionByName(
+        variants.join(rests, "key").select(own.alias("own"), F.when(F.col("pos") < 0, F.col("part")).otherwise(F.col("whole")).alias("least"))
     )
-    found = found.where("least < own").groupBy(F.col("own.h1").alias("h1"), F.col("own.h2").alias("h2")).agg(F.min("least").alias("least"))
-    other = texts.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("text").alias("other_text"))
+    found = found.where("least < own").groupBy("own").agg(F.min("least").alias("least"))
+    other = texts.select(F.col("first_id").alias("o_id"), F.col("first_line").alias("o_line"), F.col("text").alias("other_text"))
     pairs = (
-        found.select("h1", "h2", F.col("least.h1").alias("o1"), F.col("least.h2").alias("o2"))
-        .join(texts.select("h1", "h2", "text"), ["h1", "h2"])
-        .join(other, ["o1", "o2"])
-        .select("h1", "h2", "text", "other_text")
+        found.select("own.*", F.col("least.first_id").alias("o_id"), F.col("least.first_line").alias("o_line"))
+        .join(texts, ["first_id", "first_line"])
+        .join(other.dropDuplicates(["o_id", "o_line"]), ["o_id", "o_line"])
+        .select("first_id", "first_line", "text", "other_text")
     )
-    return _verified(pairs).distinct()
+    near = materialize(_verified(pairs).distinct(), "near-lines")
+    discard(variants)
+    discard(texts)
+    return near
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -215,9 +218,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         ),
         "distinct-lines",
     )
-    near = materialize(near_lines(narrow, distinct).withColumn("near", F.lit(True)), "near-lines")
-    # only lines that occur again or have a near line can be dropped
-    verdict = distinct.select("h1", "h2", "first").join(near, ["h1", "h2"], "left")
+    near = near_lines(narrow, distinct)
+    marks = near.select(F.struct(F.col("first_id").alias("id"), F.col("first_line").alias("line")).alias("first"), F.lit(True).alias("near"))
+    verdict = distinct.select("h1", "h2", "first").join(marks, "first", "left")
     dropped = (
         lines.select("id", "line", "h1", "h2")
         .join(verdict, ["h1", "h2"])
@@ -230,6 +233,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         )
     )
     dropped = materialize(dropped.withColumnRenamed("id", "_id"), "dropped-lines")
+    for used in (lines, distinct, near):
+        discard(used)
     none = F.array().cast("array<int>")
     out = docs.drop("n_lines", "n_repeated", "n_near").join(dropped, F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)) == F.col("_id"), "left")
     pieces = F.split(F.col(text_col), "\n")
