@@ -236,7 +236,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     for used in (lines, distinct, near):
         discard(used)
     none = F.array().cast("array<int>")
-    out = docs.drop("n_lines", "n_repeated", "n_near").join(dropped, F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)) == F.col("_id"), "left")
+    # the list of dropped lines grows with the documents: a merge join at every size
+    out = docs.drop("n_lines", "n_repeated", "n_near").join(dropped.hint("merge"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)) == F.col("_id"), "left")
     pieces = F.split(F.col(text_col), "\n")
     gone = F.concat(F.coalesce("_repeated", none), F.coalesce("_near", none))
     kept = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), gone)
