@@ -228,32 +228,32 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .where("repeated or near")
         .groupBy("id")
         .agg(
-            F.collect_set(F.when(F.col("repeated"), F.col("line"))).alias("_repeated"),
-            F.collect_set(F.when(~F.col("repeated"), F.col("line"))).alias("_near"),
+            F.collect_set(F.when(F.col("repeated"), F.col("line"))).alias("__meridian_repeated"),
+            F.collect_set(F.when(~F.col("repeated"), F.col("line"))).alias("__meridian_near"),
         )
     )
-    dropped = materialize(dropped.withColumnRenamed("id", "_id"), "dropped-lines")
+    dropped = materialize(dropped.withColumnRenamed("id", "__meridian_id"), "dropped-lines")
     for used in (lines, distinct, near):
         discard(used)
     none = F.array().cast("array<int>")
     # the list of dropped lines grows with the documents: a merge join at every size
-    out = docs.drop("n_lines", "n_repeated", "n_near").join(dropped.hint("merge"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)) == F.col("_id"), "left")
+    out = docs.drop("n_lines", "n_repeated", "n_near").join(dropped.hint("merge"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)) == F.col("__meridian_id"), "left")
     pieces = F.split(F.col(text_col), "\n")
-    gone = F.concat(F.coalesce("_repeated", none), F.coalesce("_near", none))
+    gone = F.concat(F.coalesce("__meridian_repeated", none), F.coalesce("__meridian_near", none))
     kept = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), gone)
-    rebuilt = F.array_join(F.transform(kept, lambda i: F.get(F.col("_pieces"), i)), "\n")
+    rebuilt = F.array_join(F.transform(kept, lambda i: F.get(F.col("__meridian_pieces"), i)), "\n")
     return (
-        out.withColumn("_pieces", pieces)
+        out.withColumn("__meridian_pieces", pieces)
         .withColumns(
             {
-                "n_lines": F.coalesce(F.size("_pieces"), F.lit(0)).cast("long"),
-                "n_repeated": F.coalesce(F.size("_repeated"), F.lit(0)).cast("long"),
-                "n_near": F.coalesce(F.size("_near"), F.lit(0)).cast("long"),
-                text_col: F.when(F.col("_id").isNull(), F.col(text_col)).otherwise(rebuilt),
+                "n_lines": F.coalesce(F.size("__meridian_pieces"), F.lit(0)).cast("long"),
+                "n_repeated": F.coalesce(F.size("__meridian_repeated"), F.lit(0)).cast("long"),
+                "n_near": F.coalesce(F.size("__meridian_near"), F.lit(0)).cast("long"),
+                text_col: F.when(F.col("__meridian_id").isNull(), F.col(text_col)).otherwise(rebuilt),
             }
         )
         .withColumn("n_lines", F.when(F.col(text_col).isNull(), F.lit(0).cast("long")).otherwise(F.col("n_lines")))
-        .drop("_id", "_repeated", "_near", "_pieces")
+        .drop("__meridian_id", "__meridian_repeated", "__meridian_near", "__meridian_pieces")
     )
 
 

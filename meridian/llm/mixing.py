@@ -123,8 +123,9 @@ def split_quotas(quotas: DataFrame, n_shards: int, seed: int = 0) -> DataFrame:
     """Split exact block quotas ``(key, blocks)`` over ``n_shards``: rows (key, shard, quota).
 
     Each level halves the shards of a node and draws how many blocks of each source go
-    left from the multivariate hypergeometric law, one source after the other. Shards get
-    equal numbers of blocks (at most one apart) and every quota is met exactly.
+    left from the multivariate hypergeometric law, one source after the other (one entry per
+    source, not per row, stands in the list of a node). Shards get equal numbers of blocks (at
+    most one apart) and every quota is met exactly.
     """
     total = F.sum("blocks").over(Window.partitionBy(F.lit(0)))
     state = quotas.where("blocks > 0").select(

@@ -12,6 +12,8 @@ from meridian.llm.common import materialize
 
 #: Sums per pass that may reach the driver, for all nodes of a level together.
 BINS = 1 << 16
+#: Most nodes whose table is broadcast; beyond, Spark joins it as it sees fit.
+BROADCAST_NODES = 10_000
 #: Rows that are numbered together inside a shard.
 ROWS_PER_BUCKET = 4096
 LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
@@ -31,9 +33,10 @@ def code(column: Column, kind: str) -> Column:
 
 
 def _leaf_table(spark, nodes: list[dict], fields: str) -> DataFrame:
-    """The fields of the nodes (at most one per shard) as a small table."""
+    """The fields of the nodes (at most one per shard) as a table, to be broadcast while it is small."""
     names = [f.split()[0] for f in fields.split(", ")]
-    return spark.createDataFrame([tuple(n[x] for x in names) for n in nodes], fields)
+    table = spark.createDataFrame([tuple(n[x] for x in names) for n in nodes], fields)
+    return F.broadcast(table) if len(nodes) <= BROADCAST_NODES else table
 
 
 def _weighted_cut(rows: DataFrame, nodes: list[dict], tolerance: float) -> None:
@@ -49,9 +52,9 @@ def _weighted_cut(rows: DataFrame, nodes: list[dict], tolerance: float) -> None:
         n |= {"stage": "value", "lo": n["min"], "hi": n["max"], "base": 0.0, "value": 0}
     while open_nodes:
         for n in open_nodes:
-            n["step"] = Decimal(max(1, -(-(n["hi"] - n["lo"] + 1) // (BINS // len(open_nodes)))))
+            n["step"] = Decimal(max(1, -(-(n["hi"] - n["lo"] + 1) // max(2, BINS // len(open_nodes)))))
             n["by_tie"] = n["stage"] == "tie"
-        at = F.broadcast(_leaf_table(spark, open_nodes, "node int, lo bigint, hi bigint, step decimal(20,0), by_tie boolean, value bigint"))
+        at = _leaf_table(spark, open_nodes, "node int, lo bigint, hi bigint, step decimal(20,0), by_tie boolean, value bigint")
         x = F.when(F.col("by_tie"), F.col("tie")).otherwise(F.col("v"))
         inside = F.when(F.col("by_tie"), F.col("v") == F.col("value")).otherwise(F.lit(True)) & x.between(F.col("lo"), F.col("hi"))
         got = (
@@ -97,7 +100,7 @@ def kd_shards(rows: DataFrame, dims: list[str], weight: str, tie: str, n_shards:
     separates rows of equal metadata). A node with m leaves is split at the weighted quantile
     ceil(m/2)/m of the dimension whose range, against the whole table's, is the widest in that
     node. Rows follow the splits by one join per level with a table of at most ``n_shards``
-    nodes (broadcast: its size is bounded by that parameter). An empty table stays empty.
+    nodes (broadcast up to BROADCAST_NODES rows). An empty table stays empty.
     """
     spark = rows.sparkSession
     state = rows.withColumn("node", F.lit(0))
@@ -125,14 +128,14 @@ def kd_shards(rows: DataFrame, dims: list[str], weight: str, tie: str, n_shards:
         splitting = [n for n in nodes if n["leaves"] > 1]
         if not splitting:
             break
-        at = F.broadcast(_leaf_table(spark, splitting, "node int, dim int"))
+        at = _leaf_table(spark, splitting, "node int, dim int")
         along = state.join(at, "node").select(
             "node", F.get(F.array(*[F.col(d) for d in dims]), F.col("dim")).alias("v"), F.col(tie).alias("tie"), F.col(weight).alias("weight")
         )
         _weighted_cut(along, splitting, tolerance)
         for n in splitting:
             n |= {"cut_v": n["cut"][0], "cut_t": n["cut"][1]}
-        cuts = F.broadcast(_leaf_table(spark, splitting, "node int, dim int, cut_v bigint, cut_t bigint, left_leaves int"))
+        cuts = _leaf_table(spark, splitting, "node int, dim int, cut_v bigint, cut_t bigint, left_leaves int")
         v = F.get(F.array(*[F.col(d) for d in dims]), F.col("dim"))
         left = (v < F.col("cut_v")) | ((v == F.col("cut_v")) & (F.col(tie) <= F.col("cut_t")))
         state = (
