@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Names that lists of series always show.
@@ -68,3 +68,10 @@ def chart(points: DataFrame, value_col: str = "value", at_col: str = "ts") -> Da
 
     joined = points.join(F.broadcast(ends))  # one row
     return joined.withColumns({"y": scaled(value_col), "x": scaled(at_col)}).drop(*ends.columns)
+
+
+def axis_ticks(points: DataFrame, at_col: str = "ts") -> DataFrame:
+    """First, middle and last row of a chart by its axis; made for what one chart shows, which is sorted whole."""
+    numbered = points.withColumns({"_row": F.row_number().over(Window.orderBy(at_col)) - 1, "_rows": F.count("*").over(Window.partitionBy())})
+    picks = (F.lit(0), F.floor((F.col("_rows") - 1) / 2), F.col("_rows") - 1)
+    return numbered.where(F.col("_row").isin(*picks)).drop("_row", "_rows")
