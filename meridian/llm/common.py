@@ -46,9 +46,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """Like ``materialize``, dealt to ``buckets`` by ``key``: tables bucketed alike are grouped together without a shuffle."""
+    table = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/{table}"
+    df.write.bucketBy(buckets, key).option("path", path).saveAsTable(table)
+    out = df.sparkSession.table(table)
+    out.scratch_path, out.scratch_table = path, table
+    return out
+
+
 def discard(df: DataFrame) -> None:
-    """Delete what ``materialize`` wrote, once nothing reads it any more."""
+    """Delete what ``materialize`` or ``bucketed`` wrote, once nothing reads it any more."""
     spark = df.sparkSession
+    if hasattr(df, "scratch_table"):
+        spark.sql(f"DROP TABLE IF EXISTS {df.scratch_table}")
     path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -2,9 +2,9 @@
 
 The texts are cut into blocks of tokens. A block is one row: its vocabulary as hashes and its
 documents as ids into it. Each block sends the distinct n-grams it holds, with its own counts, to
-hash partitions, which add them up and send back to each block the n-grams that other blocks
-hold too; what a block alone holds it has counted itself. So a frequent n-gram costs a row per block,
-not per occurrence, and no table of the corpus has to fit in a task or the driver.
+hash partitions, which add them up and send back to each block the totals of its n-grams, in the
+order of their hashes. So a frequent n-gram costs an entry per block, not per occurrence, and no
+table of the corpus has to fit in a task or the driver.
 """
 
 from __future__ import annotations
@@ -19,11 +19,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.common import materialize
+from meridian.llm.common import bucketed, discard, materialize
 
 #: Tokens of a block, and n-grams of a hash partition (about).
-BLOCK_TOKENS = 3_000_000
+BLOCK_TOKENS = 1_500_000
 PART_KEYS = 3_000_000
+#: Most buckets that blocks and totals are dealt to; a bucket works off its blocks one by one.
+MOST_BUCKETS = 4096
 EM_ROUNDS = 20
 #: Steps per octave in which relative frequencies are told apart when the weights are learned.
 GRID = 8
@@ -128,19 +130,19 @@ class Block:
     def __init__(self, row: dict):
         self.name = row["block"]
         self.vocabulary = _unpack(row["vocabulary"], "<u8")
-        ids, starts = _unpack(row["ids"], "<u4").astype(np.int64), _unpack(row["starts"], "<u4").astype(np.int64)
+        ids, starts = _unpack(row["ids"], "<u4").view(np.int32), _unpack(row["starts"], "<u4").astype(np.int64)
         self.documents = row["documents"]
         lead = np.zeros(len(ids), bool)
         lead[starts[:-1]] = True
         at = np.flatnonzero(~lead)
         self.token, self.context = ids[at], ids[at - 1]
-        self.part = np.repeat(np.arange(len(starts) - 1), np.diff(starts) - 1)
+        self.part = np.repeat(np.arange(len(starts) - 1, dtype=np.int32), np.diff(starts) - 1)
         fold = np.array([d["fold"] for d in self.documents], dtype=np.int8)
         self.fold = fold[self.part]
         self.begins = [int(((fold == f) & (ids[starts[:-1]] == BEGIN)).sum()) for f in (A, B)]
-        pair = self.context * len(self.vocabulary) + self.token
-        self.pairs, self.pair_of = np.unique(pair, return_inverse=True)
-        c, t = self.vocabulary[self.pairs // len(self.vocabulary)], self.vocabulary[self.pairs % len(self.vocabulary)]
+        pairs, pair_of = np.unique(self.context.astype(np.int64) * len(self.vocabulary) + self.token, return_inverse=True)
+        self.pair_of = pair_of.astype(np.int32)
+        c, t = self.vocabulary[pairs // len(self.vocabulary)], self.vocabulary[pairs % len(self.vocabulary)]
         x = c * np.uint64(0x9E3779B97F4A7C15) ^ (t + (t << np.uint64(31)))
         x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
         self.pair_hash = x ^ (x >> np.uint64(29))
@@ -149,7 +151,7 @@ class Block:
         """Training counts per fold (2 x n) of the words, contexts included, and of the pairs."""
         words = np.stack([np.bincount(self.token[self.fold == f], minlength=len(self.vocabulary)) for f in (A, B)])
         words[:, BEGIN] = self.begins
-        pairs = np.stack([np.bincount(self.pair_of[self.fold == f], minlength=len(self.pairs)) for f in (A, B)])
+        pairs = np.stack([np.bincount(self.pair_of[self.fold == f], minlength=len(self.pair_hash)) for f in (A, B)])
         return words, pairs
 
 
@@ -166,10 +168,9 @@ def block_ngrams(parts: dict[int, int]):
                 for kind, keys, counts in zip((UNI, BI), (b.vocabulary, b.pair_hash), b.counts(), strict=True):
                     order = np.argsort(keys)
                     keys, counts = keys[order], counts[:, order].astype(np.uint32)
-                    # partitions are ranges of the hash, so each is a slice
-                    edges = np.searchsorted(keys, np.array([(p << 64) // parts[kind] for p in range(parts[kind])], dtype=np.uint64))
+                    edges = _edges(keys, parts[kind])
                     out = []
-                    for p, (lo, hi) in enumerate(zip(edges, [*edges[1:], len(keys)], strict=True)):
+                    for p, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
                         if hi > lo:
                             out.append((kind, p, b.name, _pack_sorted(keys[lo:hi]), _pack(counts[0, lo:hi]), _pack(counts[1, lo:hi])))
                     names = ["kind", "part", "block", "keys", "a", "b"]
@@ -180,57 +181,59 @@ def block_ngrams(parts: dict[int, int]):
     return run
 
 
-REPLIES = NGRAMS + ", types long, tokens_a long, tokens_b long"
+REPLIES = "kind int, part int, block long, a binary, b binary, types long, tokens_a long, tokens_b long"
 
 
 def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """applyInArrow body for one partition: totals for every block, of n-grams that several blocks hold.
+    """applyInArrow body for one partition: the totals of each block's n-grams, in the order it sent them.
 
     A row with null block carries the sums of the partition: trained n-grams and their tokens.
     """
     t = pa.Table.from_batches(batches)
     if not t.num_rows:
         return
-    kind, part, blocks = t.column("kind")[0].as_py(), t.column("part")[0].as_py(), t.column("block").to_numpy()
+    kind, part = t.column("kind")[0].as_py(), t.column("part")[0].as_py()
     keys = [_unpack_sorted(x.as_py()) for x in t.column("keys")]
-    size = [len(k) for k in keys]
+    ends = np.cumsum([len(k) for k in keys])
     flat = np.concatenate(keys)
-    a, b = (np.concatenate([_unpack(x.as_py(), "<u4") for x in t.column(c)]).astype(np.int64) for c in ("a", "b"))
     order = np.argsort(flat, kind="stable")
     ordered = flat[order]
     first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    holders = np.diff(np.append(first, len(ordered)))
-    total_a, total_b = np.add.reduceat(a[order], first), np.add.reduceat(b[order], first)
-    group = np.empty(len(flat), np.int64)
-    group[order] = np.repeat(np.arange(len(first)), holders)
-    types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-    names = ["kind", "part", "block", "keys", "a", "b", "types", "tokens_a", "tokens_b"]
-    begin = xxhash.xxh64_intdigest(b"", 42)
-    word = ordered[first] != np.uint64(begin) if kind == UNI else np.ones(len(first), bool)
-    sums = (kind, part, None, None, None, None, int(((total_a + total_b > 0) & word).sum()), int(total_a[word].sum()), int(total_b[word].sum()))
+    group = np.empty(len(flat), np.int32)
+    group[order] = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.append(first, len(ordered))))
+    word = ordered[first] != np.uint64(xxhash.xxh64_intdigest(b"", 42)) if kind == UNI else np.ones(len(first), bool)
+    totals = []
+    for c in ("a", "b"):
+        counts = np.concatenate([_unpack(x.as_py(), "<u4") for x in t.column(c)])
+        totals.append(np.add.reduceat(counts[order].astype(np.int64), first))
+    names = ["kind", "part", "block", "a", "b", "types", "tokens_a", "tokens_b"]
+    types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+    trained = int(((totals[A] + totals[B] > 0) & word).sum())
+    sums = (kind, part, None, None, None, trained, *[int(x[word].sum()) for x in totals])
     yield pa.RecordBatch.from_arrays([pa.array([v], x) for v, x in zip(sums, types, strict=True)], names=names)
-    at = 0
-    for block, n in zip(blocks, size, strict=True):
-        g = group[at : at + n]
-        pick = np.flatnonzero(holders[g] > 1)
-        g = g[pick]
-        reply = (kind, part, int(block), _pack_sorted(flat[at : at + n][pick]), _pack(total_a[g].astype("<u8")), _pack(total_b[g].astype("<u8")), None, None, None)
-        at += n
-        if len(pick):
-            yield pa.RecordBatch.from_arrays([pa.array([v], x) for v, x in zip(reply, types, strict=True)], names=names)
-
-
-def _totals(block: Block, replies: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    for block, lo, hi in zip(t.column("block").to_pylist(), [0, *ends[:-1]], ends, strict=True):
+        reply = (kind, part, block, *[_pack(x[group[lo:hi]].astype("<u8")) for x in totals], None, None, None)
+        yield pa.RecordBatch.from_arrays([pa.array([v], x) for v, x in zip(reply, types, strict=True)], names=names)
+
+
+def _edges(ordered: np.ndarray, parts: int) -> np.ndarray:
+    """Where each partition begins in sorted hashes, and the end: partitions are ranges of the hash."""
+    return np.append(np.searchsorted(ordered, np.array([-(-(p << 64) // parts) for p in range(parts)], dtype=np.uint64)), len(ordered))
+
+
+def _totals(block: Block, parts: dict[int, int], replies: list[dict]) -> tuple[np.ndarray, np.ndarray]:
     """Counts per fold of the block's words and pairs over all training documents."""
-    words, pairs = (x.astype(np.int64) for x in block.counts())
-    for kind, keys, counts in ((UNI, block.vocabulary, words), (BI, block.pair_hash, pairs)):
+    out = []
+    for kind, keys in ((UNI, block.vocabulary), (BI, block.pair_hash)):
         order = np.argsort(keys)
-        ordered = keys[order]
+        edges = _edges(keys[order], parts[kind])
+        counts = np.zeros((2, len(keys)), np.int64)
         for r in replies:
             if r["kind"] == kind:
-                at = order[np.searchsorted(ordered, _unpack_sorted(r["keys"]))]
+                at = order[edges[r["part"]] : edges[r["part"] + 1]]
                 counts[A, at], counts[B, at] = _unpack(r["a"], "<u8"), _unpack(r["b"], "<u8")
-    return words, pairs
+        out.append(counts)
+    return out[0], out[1]
 
 
 def _bucket(context_counts: np.ndarray) -> np.ndarray:
@@ -238,21 +241,21 @@ def _bucket(context_counts: np.ndarray) -> np.ndarray:
     return np.where(context_counts > 0, np.log2(np.maximum(context_counts, 1)).astype(np.int64) + 1, 0)
 
 
-def _opened(left: pa.Table, right: pa.Table) -> tuple[Block, np.ndarray, np.ndarray]:
+def _opened(left: pa.Table, right: pa.Table, parts: dict[int, int]) -> tuple[Block, np.ndarray, np.ndarray]:
     """The one block of a group, with the totals of its words and pairs."""
     b = Block(left.to_pylist()[0])
-    return b, *_totals(b, right.to_pylist())
+    return b, *_totals(b, parts, right.to_pylist())
 
 
 CELLS = "bucket int, g2 int, g1 int, f2 double, f1 double, n double"
 
 
-def held_out_cells(tokens: list[int]):
+def held_out_cells(tokens: list[int], parts: dict[int, int]):
     """cogroup body: the tokens of one training fold under the relative frequencies of the other,
     gathered by bucket and by both frequencies on a grid of 1/GRID octaves (their means are kept)."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        b, words, pairs = _opened(left, right)
+        b, words, pairs = _opened(left, right, parts)
         got = []
         for held, other in ((A, B), (B, A)):
             pick = b.fold == held
@@ -297,12 +300,12 @@ def learn_weights(cells: DataFrame, uniform: float, rounds: int = EM_ROUNDS) ->
 SCORES = "row long, id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def score_blocks(types: int, tokens: list[int], weights: dict[int, tuple[float, float, float]]):
+def score_blocks(types: int, tokens: list[int], parts: dict[int, int], weights: dict[int, tuple[float, float, float]]):
     """cogroup body: sums over the tokens of each document part."""
     table = np.array([weights.get(k, (0.0, 0.9, 0.1)) for k in range(66)])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        b, words, pairs = _opened(left, right)
+        b, words, pairs = _opened(left, right, parts)
         total = sum(tokens)
         c1, c, c2 = words.sum(axis=0)[b.context], words.sum(axis=0)[b.token], pairs.sum(axis=0)[b.pair_of]
         w = table[_bucket(c1)]
@@ -348,21 +351,27 @@ def score_documents(
     out = (crc % 5 == 1) if held_out is None else held_out
     fold = F.when(F.coalesce(out, F.lit(False)), F.lit(HELD_OUT)).otherwise((F.floor(crc / 5) % 2).cast("int"))
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), fold.alias("fold"), F.col(text_col).cast("string").alias("text"))
-    blocks = materialize(block_table(narrow, block_tokens), "blocks")
+    about = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(1, min(MOST_BUCKETS, -(-about // (6 * block_tokens))))
+    blocks = bucketed(block_table(narrow, block_tokens), "blocks", "block", buckets)
     size = blocks.agg(F.sum("tokens")).first()[0] or 0
     parts = {UNI: max(1, -(-size // (2 * part_keys))), BI: max(1, -(-size // part_keys))}
     ngrams = blocks.mapInArrow(block_ngrams(parts), NGRAMS)
-    replies = materialize(ngrams.groupBy("kind", "part").applyInArrow(add_up, REPLIES), "counts")
+    replies = ngrams.groupBy("kind", "part").applyInArrow(add_up, REPLIES)
+    replies = bucketed(replies.repartition(buckets, "block"), "counts", "block", buckets)
     sums = replies.where(f"block is null and kind = {UNI}").agg(F.sum("types"), F.sum("tokens_a"), F.sum("tokens_b")).first()
     types, tokens = sums[0] or 0, [sums[1] or 0, sums[2] or 0]
-    answers = replies.where("block is not null").select("kind", "block", "keys", "a", "b")
+    answers = replies.where("block is not null").select("kind", "part", "block", "a", "b")
     both = blocks.groupBy("block").cogroup(answers.groupBy("block"))
-    cells = both.applyInArrow(held_out_cells(tokens), CELLS)
+    cells = both.applyInArrow(held_out_cells(tokens, parts), CELLS)
     cells = cells.groupBy("bucket", "g2", "g1").agg(
         (F.sum("f2") / F.sum("n")).alias("f2"), (F.sum("f1") / F.sum("n")).alias("f1"), F.sum("n").alias("n")
     )
     weights = learn_weights(materialize(cells, "held-out"), 1 / (types + 1))
-    scored = both.applyInArrow(score_blocks(types, tokens, weights), SCORES)
+    scored = both.applyInArrow(score_blocks(types, tokens, parts, weights), SCORES)
+    scored = materialize(scored, "scores")
+    for used in (blocks, replies):
+        discard(used)
     return scored.groupBy("row").agg(
         F.first("id").alias(id_col),
         F.first("held_out").alias("held_out"),
