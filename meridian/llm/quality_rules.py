@@ -24,7 +24,7 @@ THRESHOLDS: list[tuple[str, str, float | None, float | None]] = [
     ("shouted_ratio", "shouted_ratio", None, 0.5),
 ]
 
-SYMBOLS = "#*$%&|<>"
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words", "n_shouted"]
 WINDOW = 8
 
 
@@ -101,7 +101,7 @@ def apply_rules(
     text_col: str = "text",
     thresholds: list[tuple[str, str, float | None, float | None]] = THRESHOLDS,
 ) -> DataFrame:
-    """Add the columns ``quality`` (struct of counts), ``failed_rules`` (array of rule names),
+    """Add the columns ``quality`` (struct of counts and verdict), ``failed_rules`` (array of rule names),
     ``base_failed`` and ``kept`` to ``docs``.
 
     The threshold table becomes one projection of built-in expressions: no shuffle, no
@@ -111,23 +111,28 @@ def apply_rules(
     added ones are replaced. Rows are judged one by one, so repeated rows give equal verdicts
     and an empty table gives an empty table.
     """
-    m = F.col("quality")
-    metrics = _metrics(m)
-    fails = []
-    for rule, metric, low, high in thresholds:
-        bad = F.lit(False)
-        if low is not None:
-            bad = bad | (metrics[metric] < F.lit(low))
-        if high is not None:
-            bad = bad | (metrics[metric] > F.lit(high))
-        fails.append(F.when(bad, F.lit(rule)))
-    base = (m["n_words"] < 20) | (100 * m["n_repeat_words"] > 30 * m["n_words"])
-    failed = F.filter(F.array(*fails), lambda x: x.isNotNull()) if fails else F.array().cast("array<string>")
-    return (
-        docs.withColumn("quality", measures(F.col(text_col)))
-        .withColumns({"failed_rules": failed, "base_failed": base})
-        .withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
-    )
+    def verdict(m: Column) -> Column:
+        metrics = _metrics(m)
+        fails = []
+        for rule, metric, low, high in thresholds:
+            bad = F.lit(False)
+            if low is not None:
+                bad = bad | (metrics[metric] < F.lit(low))
+            if high is not None:
+                bad = bad | (metrics[metric] > F.lit(high))
+            fails.append(F.when(bad, F.lit(rule)))
+        failed = F.filter(F.array(*fails), lambda x: x.isNotNull()) if fails else F.array().cast("array<string>")
+        base = (m["n_words"] < 20) | (100 * m["n_repeat_words"] > 30 * m["n_words"])
+        return let(
+            failed,
+            lambda f: F.struct(
+                *[m[c].alias(c) for c in COUNTS], f.alias("failed_rules"), base.alias("base_failed"), (~base & (F.size(f) == 0)).alias("kept")
+            ),
+        )
+
+    # one expression holds counts and verdict, so a filter on the verdict evaluates the text once
+    judged = docs.withColumn("quality", let(measures(F.col(text_col)), verdict))
+    return judged.withColumns({c: F.col("quality")[c] for c in ("failed_rules", "base_failed", "kept")})
 
 
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
