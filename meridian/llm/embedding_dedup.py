@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from meridian.llm.common import connected_components, materialize
 
-#: Vectors of a cell that are compared as one block.
-BLOCK = 2048
+#: Vectors of a cell that are compared as one block, and how many of them at a time.
+BLOCK = 4096
+STRIP = 1024
 #: Most pivots; they are the only vectors that pass the driver.
-MAX_PIVOTS = 256
+MAX_PIVOTS = 1024
 #: Slack on pruning tests, far above rounding and far below any distance that matters.
 SLACK = 1e-9
 
@@ -60,16 +61,18 @@ def assign_cells(vectors: DataFrame, pivots: np.ndarray, dims: np.ndarray, radiu
 def _compare(threshold: float):
     """One block against another (or itself): link counts of every row and a spanning forest."""
 
-    def links(a: pd.DataFrame, b: pd.DataFrame, same: bool):
+    def links(a: pd.DataFrame, b: pd.DataFrame, same: bool) -> np.ndarray:
         xa, ua = _unit(a["embedding"])
         xb, ub = (xa, ua) if same else _unit(b["embedding"])
-        cos = ua @ ub.T
-        close = np.abs(cos - threshold) < SLACK
-        if close.any():  # decided by the formula itself
-            i, j = np.nonzero(close)
-            top = (xa[i] * xb[j]).sum(axis=1)
-            cos[i, j] = top / np.sqrt((xa[i] ** 2).sum(axis=1) * (xb[j] ** 2).sum(axis=1))
-        hit = cos >= threshold
+        hit = np.empty((len(ua), len(ub)), dtype=bool)
+        for at in range(0, len(ua), STRIP):
+            cos = ua[at : at + STRIP] @ ub.T
+            close = np.abs(cos - threshold) < SLACK
+            if close.any():  # decided by the formula itself
+                i, j = np.nonzero(close)
+                top = (xa[at + i] * xb[j]).sum(axis=1)
+                cos[i, j] = top / np.sqrt((xa[at + i] ** 2).sum(axis=1) * (xb[j] ** 2).sum(axis=1))
+            hit[at : at + STRIP] = cos >= threshold
         if same:
             np.fill_diagonal(hit, False)
         return hit
@@ -99,10 +102,10 @@ def _compare(threshold: float):
             return empty
         hit = links(a, b, same)
         ia, ib, na, nb = a["id"].to_numpy(), b["id"].to_numpy(), a["n"].to_numpy(), b["n"].to_numpy()
-        ca = hit @ nb
+        ca = np.array([nb[h].sum() for h in hit])
         rows = [pd.DataFrame({"id": ia[ca > 0], "links": ca[ca > 0], "other": ia[ca > 0]})]
         if not same:
-            cb = hit.T @ na
+            cb = np.array([na[h].sum() for h in hit.T])
             rows.append(pd.DataFrame({"id": ib[cb > 0], "links": cb[cb > 0], "other": ib[cb > 0]}))
         if hit.any():
             e = np.array(forest(hit, ia, ib), dtype=np.int64).reshape(-1, 2)
@@ -194,3 +197,20 @@ def near_embeddings(
 
 def op2_embedding_dedup(spark, sf_dir: str) -> DataFrame:
     return near_embeddings(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+
+
+OP2_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v AS a JOIN v AS b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS least FROM r GROUP BY a),
+n AS (SELECT a, count(*) AS links FROM l GROUP BY a)
+SELECT vec_id, CAST(coalesce(links, 0) AS BIGINT) AS n_links, CAST(coalesce(least(vec_id, c.least), vec_id) AS BIGINT) AS component_id,
+       vec_id = coalesce(least(vec_id, c.least), vec_id) AS kept
+FROM embeddings LEFT JOIN c ON vec_id = c.a LEFT JOIN n ON vec_id = n.a
+"""

@@ -27,6 +27,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op2_embedding_dedup": embedding_dedup.OP2_SQL,
     "op4_quality_rules": quality_rules.OP4_SQL,
     "op5_mixing": mixing.OP5_SQL,
     "op6_line_dedup": line_dedup.OP6_SQL,
