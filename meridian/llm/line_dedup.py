@@ -169,6 +169,7 @@ def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
         .select("id", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"), F.explode("want").alias("line"))
         .select(F.col("id").alias("first_id"), F.col("line").alias("first_line"), F.get("lines", F.col("line")).alias("text"))
         .where("text is not null")
+        .dropDuplicates(["first_id", "first_line"])
     )
     texts = materialize(texts, "candidate-lines")
     variants = variant_rows(texts)
@@ -188,7 +189,7 @@ def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     pairs = (
         found.select("own.*", F.col("least.first_id").alias("o_id"), F.col("least.first_line").alias("o_line"))
         .join(texts, ["first_id", "first_line"])
-        .join(other.dropDuplicates(["o_id", "o_line"]), ["o_id", "o_line"])
+        .join(other, ["o_id", "o_line"])
         .select("first_id", "first_line", "text", "other_text")
     )
     near = materialize(_verified(pairs).distinct(), "near-lines")
