@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from decimal import Decimal
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,10 +33,13 @@ def code(column: Column, kind: str) -> Column:
     return F.coalesce(number, F.lit(-1).cast("long"))
 
 
+_TYPES = {"int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_(), "decimal(20,0)": pa.decimal128(20, 0)}
+
+
 def _leaf_table(spark, nodes: list[dict], fields: str) -> DataFrame:
     """The fields of the nodes (at most one per shard) as a table, to be broadcast while it is small."""
-    names = [f.split()[0] for f in fields.split(", ")]
-    table = spark.createDataFrame([tuple(n[x] for x in names) for n in nodes], fields)
+    columns = [f.split() for f in fields.split(", ")]
+    table = spark.createDataFrame(pa.table({n: pa.array([x[n] for x in nodes], _TYPES[t]) for n, t in columns}))
     return F.broadcast(table) if len(nodes) <= BROADCAST_NODES else table
 
 
