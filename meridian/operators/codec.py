@@ -11,7 +11,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -145,17 +144,43 @@ ENCODED = "series string, chunk long, count long, start_time long, end_time long
 
 
 def encode(chunked: DataFrame) -> DataFrame:
-    """One row per chunk of ``chunked(series, chunk, ts, value, seq)`` with its two streams. A chunk is bounded by the rules that cut it."""
+    """One row per chunk of ``chunked(series, chunk, ts, value, seq)`` with its two streams.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        bits = np.ascontiguousarray(pdf["value"].to_numpy(np.float64)).view(np.uint64).tolist()
-        ts = pdf["ts"].tolist()
-        head = pdf.iloc[0]
-        row = [head["series"], head["chunk"], len(ts), ts[0], ts[-1], encode_times(ts), encode_values(bits)]
-        return pd.DataFrame([row], columns=["series", "chunk", "count", "start_time", "end_time", "ts_bits", "value_bits"])
+    Rows come sorted, many chunks to a task; only the points of the chunk at hand are held, and a chunk is bounded by the rules
+    that cut it.
+    """
 
-    return chunked.select("series", "chunk", "ts", "value", "seq").groupBy("series", "chunk").applyInPandas(run, ENCODED)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["series", "chunk", "count", "start_time", "end_time", "ts_bits", "value_bits"]
+        types = [pa.string(), *[pa.int64()] * 4, pa.binary(), pa.binary()]
+        key, ts, bits = None, [], []
+
+        def packed(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+        def row() -> tuple:
+            return (*key, len(ts), ts[0], ts[-1], encode_times(ts), encode_values(bits))
+
+        for batch in batches:
+            keys = list(zip(batch.column("series").to_pylist(), batch.column("chunk").to_pylist(), strict=True))
+            times = batch.column("ts").to_pylist()
+            values = np.ascontiguousarray(batch.column("value").to_numpy(zero_copy_only=False)).view(np.uint64).tolist()
+            edges = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
+            done = []
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                if lo < hi and keys[lo] != key:
+                    if ts:
+                        done.append(row())
+                    key, ts, bits = keys[lo], [], []
+                ts += times[lo:hi]
+                bits += values[lo:hi]
+            if done:
+                yield packed(done)
+        if ts:
+            yield packed([row()])
+
+    rows = chunked.select("series", "chunk", "ts", "value", "seq").repartition("series", "chunk")
+    return rows.sortWithinPartitions("series", "chunk", "seq").mapInArrow(run, ENCODED)
 
 
 def decode(encoded: DataFrame) -> DataFrame:
