@@ -49,13 +49,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as often as the mix takes them, shard by shard in the shuffled order; of a
     source's last document the mix may take only leading words.
 
-    Rows with equal id and number of words count as copies of one text.
+    A text comes back by the hash of its whole row, so only rows equal in every column share one.
     """
-    pieces = mixing.mix(docs.select(COLUMNS)).where("copy is not null")
-    pieces = pieces.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "words", "shard", "shuffle_key")
-    texts = docs.select(COLUMNS).withColumn("_size", n_words(F.col("text"))).where("_size > 0")
-    texts = texts.dropDuplicates(["doc_id", "_size"])
-    taken = texts.join(pieces, texts["doc_id"].eqNullSafe(pieces["_id"]) & (texts["_size"] == pieces["_size"]))
+    known = docs.select(COLUMNS).withColumn("_hash", F.xxhash64(*[f(c) for c in COLUMNS for f in (F.isnull, F.col)]))
+    pieces = mixing.mix(known, carry=["_hash"]).where("copy is not null")
+    pieces = pieces.select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_row"), "words", "shard", "shuffle_key")
+    texts = known.withColumn("_size", n_words(F.col("text"))).where("_size > 0").dropDuplicates(["doc_id", "_hash"])
+    taken = texts.join(pieces, texts["doc_id"].eqNullSafe(pieces["_id"]) & (texts["_hash"] == pieces["_row"]))
     text = F.when(F.col("words") == texts["_size"], F.col("text")).otherwise(mixing.take_words(F.col("text"), F.col("words")))
     dealt = taken.withColumn("text", text).repartition("shard", F.shiftrightunsigned("shuffle_key", 58))
     return _with_length(dealt.sortWithinPartitions("shard", "shuffle_key"))

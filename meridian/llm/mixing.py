@@ -180,11 +180,13 @@ def mix(
     cycle: Sequence[int] = (3, 1, 2),
     most: int = 2,
     seed: int = 0,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Choose what the mix takes: one row per taken copy, or one with null ``copy`` for a document left out.
 
     Columns: doc_id, source, size, source_size, target, row (struct naming the input row),
-    copy, words (taken from this copy), block, shard, shuffle_key (order inside the shard).
+    copy, words (taken from this copy), block, shard, shuffle_key (order inside the shard), and the
+    columns of ``docs`` named in ``carry``, which also order rows of equal id and size.
 
     The documents of a source stand in the order of the md5 of (seed, id); its target is a run of
     words along that order, repeated up to ``most`` times, so every document is taken whole 0 to
@@ -199,7 +201,7 @@ def mix(
     order = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("id").cast("string"), F.lit("null"))))
     sizes = materialize(
         docs.select(
-            F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size")
+            F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), *carry
         ).withColumns({"key": key, "order": order}),
         "sizes",
     )
@@ -236,7 +238,7 @@ def mix(
     upto = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("offset", F.coalesce(F.sum("words").over(upto), F.lit(0))).select("key", "bucket", "offset")
     info = sums.join(targets.select("key", "source_size", "target", "take"), "key")
-    within = Window.partitionBy("key", "bucket").orderBy("order", "id", "size")
+    within = Window.partitionBy("key", "bucket").orderBy("order", "id", "size", *carry)
     placed = (
         sizes.join(info, ["key", "bucket"])
         .withColumn("nth", F.row_number().over(within))
@@ -276,12 +278,13 @@ def mix(
             "piece.copy",
             "piece.words",
             "piece.block",
+            *carry,
         )
     )
     return (
         pieces.join(blocks, ["key", "block"], "left")
         .withColumn("shuffle_key", F.xxhash64(F.lit(seed), "shard", "row", "copy"))
-        .select(id_col, "source", "size", "source_size", "target", "row", "copy", "words", "block", "shard", "shuffle_key")
+        .select(id_col, "source", "size", "source_size", "target", "row", "copy", "words", "block", "shard", "shuffle_key", *carry)
     )
 
 

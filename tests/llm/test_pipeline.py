@@ -77,3 +77,10 @@ def test_pipeline_on_empty_null_and_repeated_rows(spark, tmp_path):
     assert stages[4].count() > 0
     for k, s in enumerate(run(spark, [], tmp_path / "none")):
         assert s.count() == 0, k
+
+
+def test_mix_keeps_texts_of_equal_length_without_id_apart(spark):
+    rows = [(None, t, "en", "s", None) for t in ("a b c", "d e f", "g h i", "j k l")] + [(7, "m n o", "en", "s", None), (7, "p q r", "de", "s", None)]
+    got = [r.text for r in C.mix_sources(spark, spark.createDataFrame(rows, SCHEMA), SF).collect()]
+    assert {r[1] for r in rows} <= set(got)
+    assert sum(len(split(t)) for t in got) == 27 and all(got.count(r[1]) <= 2 for r in rows)
