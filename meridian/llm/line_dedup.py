@@ -19,6 +19,8 @@ NEAR_WORDS = 8
 #: An odd multiplier, so that powers have inverses modulo 2^64.
 BASE = 0x9E3779B97F4A7C15
 LAST = (1 << 63) - 1
+#: The place of a line, in the order of places, as columns of their own.
+FIRST = ["first_id", "first_row", "first_line"]
 
 
 class _Powers:
@@ -56,7 +58,7 @@ def _prefix_sums(words: list[bytes]) -> np.ndarray:
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """Lines with at least MIN_WORDS words of ``docs(id, text)``: id, line, a 128-bit hash (h1, h2), and for
+    """Lines with at least MIN_WORDS words of ``docs(id, row, text)``: id, row, line, a 128-bit hash (h1, h2), and for
     lines with NEAR_WORDS words or more the hashes of their halves (k1 to k4).
 
     If one edit makes two lines equal then they agree in their first or in their last h words, h
@@ -68,12 +70,13 @@ def line_table(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                ids, lines, hashes, counts, words = [], [], [], [], []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                ids, rows, lines, hashes, counts, words = [], [], [], [], [], []
+                for doc, row, text in zip(*(c.to_pylist() for c in part.columns[:2]), part.column(2).cast(pa.binary()).to_pylist(), strict=True):
                     for k, line in enumerate((text or b"").split(b"\n")):
                         ws = line.split()
                         if len(ws) >= MIN_WORDS:
                             ids.append(doc)
+                            rows.append(row)
                             lines.append(k)
                             hashes.append(xxhash.xxh3_128_digest(line))
                             counts.append(len(ws))
@@ -95,11 +98,11 @@ def line_table(docs: DataFrame) -> DataFrame:
                     cols.append(pa.array(segment(start + n - half, half, 1), mask=none))
                 h = np.frombuffer(b"".join(hashes), dtype="<i8").reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(lines, pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1]), *cols],
-                    names=["id", "line", "h1", "h2", "k1", "k2", "k3", "k4"],
+                    [pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(lines, pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1]), *cols],
+                    names=["id", "row", "line", "h1", "h2", "k1", "k2", "k3", "k4"],
                 )
 
-    return docs.mapInArrow(run, "id long, line int, h1 long, h2 long, k1 long, k2 long, k3 long, k4 long")
+    return docs.mapInArrow(run, "id long, row long, line int, h1 long, h2 long, k1 long, k2 long, k3 long, k4 long")
 
 
 def variant_rows(lines: DataFrame) -> DataFrame:
@@ -122,11 +125,11 @@ def variant_rows(lines: DataFrame) -> DataFrame:
                 take = pa.array(np.concatenate(rows))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(pos).astype(np.int32)),
-                     part.column("first_id").take(take), part.column("first_line").take(take)],
-                    names=["key", "pos", "first_id", "first_line"],
+                     *(part.column(c).take(take) for c in FIRST)],
+                    names=["key", "pos", *FIRST],
                 )
 
-    return lines.mapInArrow(run, "key long, pos int, first_id long, first_line int")
+    return lines.mapInArrow(run, "key long, pos int, first_id long, first_row long, first_line int")
 
 
 def within_one_edit(a: list, b: list) -> bool:
@@ -145,13 +148,13 @@ def _verified(pairs: DataFrame) -> DataFrame:
         for batch in batches:
             a, b = (batch.column(c).to_pylist() for c in ("text", "other_text"))
             ok = [within_one_edit(x.encode().split(), y.encode().split()) for x, y in zip(a, b, strict=True)]
-            yield batch.select(["first_id", "first_line"]).filter(pa.array(ok, pa.bool_()))
+            yield batch.select(FIRST).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.mapInArrow(run, "first_id long, first_line int")
+    return pairs.mapInArrow(run, "first_id long, first_row long, first_line int")
 
 
 def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """Places (first_id, first_line) of the lines of ``distinct`` that have an earlier line within one word edit.
+    """Places (first_id, first_row, first_line) of the lines of ``distinct`` that have an earlier line within one word edit.
 
     Only lines that share a half with another line can have one, so only these write their
     deletion neighbourhood, and of that only keys that occur twice go on. Lines that lose the same
@@ -161,21 +164,20 @@ def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """
     halves = distinct.select("first", F.explode(F.array("k1", "k2", "k3", "k4")).alias("half")).where("half is not null")
     shared = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
-    candidates = halves.join(shared, "half", "left_semi").select("first.id", "first.line").distinct()
-    by_doc = candidates.groupBy("id").agg(F.collect_list("line").alias("want"))
+    candidates = halves.join(shared, "half", "left_semi").select("first.*").distinct()
+    by_doc = candidates.groupBy("id", "row").agg(F.collect_list("line").alias("want"))
     texts = (
-        docs.select(F.coalesce("id", F.lit(LAST)).alias("id"), "text")
-        .join(by_doc, "id")
-        .select("id", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"), F.explode("want").alias("line"))
-        .select(F.col("id").alias("first_id"), F.col("line").alias("first_line"), F.get("lines", F.col("line")).alias("text"))
+        docs.join(by_doc, ["id", "row"])
+        .select("id", "row", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"), F.explode("want").alias("line"))
+        .select(F.col("id").alias("first_id"), F.col("row").alias("first_row"), F.col("line").alias("first_line"), F.get("lines", F.col("line")).alias("text"))
         .where("text is not null")
-        .dropDuplicates(["first_id", "first_line"])
+        .dropDuplicates(FIRST)
     )
     texts = materialize(texts, "candidate-lines")
     variants = variant_rows(texts)
     twice = variants.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     variants = materialize(variants.join(twice, "key", "left_semi"), "variants")
-    own = F.struct("first_id", "first_line")
+    own = F.struct(*FIRST)
     least = F.min(own).alias("least")
     places = variants.where("pos >= 0").groupBy("key", "pos").agg(least, F.count("*").alias("n")).where("n > 1").drop("n")
     rests = variants.groupBy("key").agg(
@@ -185,12 +187,12 @@ def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
         variants.join(rests, "key").select(own.alias("own"), F.when(F.col("pos") < 0, F.col("part")).otherwise(F.col("whole")).alias("least"))
     )
     found = found.where("least < own").groupBy("own").agg(F.min("least").alias("least"))
-    other = texts.select(F.col("first_id").alias("o_id"), F.col("first_line").alias("o_line"), F.col("text").alias("other_text"))
+    other = texts.select(*[F.col(c).alias(f"o_{c}") for c in FIRST], F.col("text").alias("other_text"))
     pairs = (
-        found.select("own.*", F.col("least.first_id").alias("o_id"), F.col("least.first_line").alias("o_line"))
-        .join(texts, ["first_id", "first_line"])
-        .join(other, ["o_id", "o_line"])
-        .select("first_id", "first_line", "text", "other_text")
+        found.select("own.*", *[F.col(f"least.{c}").alias(f"o_{c}") for c in FIRST])
+        .join(texts, FIRST)
+        .join(other, [f"o_{c}" for c in FIRST])
+        .select(*FIRST, "text", "other_text")
     )
     near = materialize(_verified(pairs).distinct(), "near-lines")
     discard(variants)
@@ -198,47 +200,62 @@ def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     return near
 
 
+def _with_place(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with __meridian_id and __meridian_row, which name a document and put it in order.
+
+    Equal texts with equal ids are one document, so a hash of the text tells those with an id
+    apart; rows without id are all documents of their own and numbered once in a written table.
+    """
+    placed = docs.withColumn("__meridian_id", F.col(id_col).cast("long"))
+    named = placed.where("__meridian_id is not null").withColumn("__meridian_row", F.xxhash64(F.col(text_col).cast("string")))
+    unnamed = placed.where("__meridian_id is null").withColumn("__meridian_row", F.monotonically_increasing_id())
+    unnamed = materialize(unnamed.withColumn("__meridian_id", F.lit(LAST)), "rows-without-id")
+    return named.unionByName(unnamed)
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with repeated and near-repeated lines taken out of the text, and the columns
     n_lines, n_repeated and n_near (lines of the text, and those dropped as equal to, or within one
     word edit of, an earlier line).
 
     Lines are what ``\\n`` separates; words are split at ASCII white space. A line with at least
-    MIN_WORDS words goes if an equal line stands earlier, in the order of (id, line number); with at
+    MIN_WORDS words goes if an equal line stands earlier, in the order of (id, row, line number); with at
     least NEAR_WORDS words also if an earlier line, dropped or not, is within one insertion, deletion or
     substitution of a word. Other lines stay. Null texts stay null (no lines) and empty ones empty. Rows
-    with equal ids count as one document and lose the same lines; null ids come last and also count
-    as one. Columns of ``docs`` named like the added ones are replaced, others pass through; an empty
+    with equal ids and texts count as one document and lose the same lines; equal ids with different
+    texts are documents apart, in the order of a hash of the text. Rows with null ids come last, each
+    a document of its own. Columns of ``docs`` named like the added ones are replaced, others pass through; an empty
     table gives an empty table.
     """
-    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    lines = materialize(line_table(narrow).withColumn("id", F.coalesce("id", F.lit(LAST))), "lines")
+    docs = _with_place(docs, id_col, text_col)
+    narrow = docs.select(F.col("__meridian_id").alias("id"), F.col("__meridian_row").alias("row"), F.col(text_col).cast("string").alias("text"))
+    lines = materialize(line_table(narrow), "lines")
     distinct = materialize(
         lines.groupBy("h1", "h2").agg(
-            F.min(F.struct("id", "line")).alias("first"), *[F.first(k).alias(k) for k in ("k1", "k2", "k3", "k4")]
+            F.min(F.struct("id", "row", "line")).alias("first"), *[F.first(k).alias(k) for k in ("k1", "k2", "k3", "k4")]
         ),
         "distinct-lines",
     )
     near = near_lines(narrow, distinct)
-    marks = near.select(F.struct(F.col("first_id").alias("id"), F.col("first_line").alias("line")).alias("first"), F.lit(True).alias("near"))
+    marks = near.select(F.struct(*[F.col(c).alias(c[6:]) for c in FIRST]).alias("first"), F.lit(True).alias("near"))
     verdict = distinct.select("h1", "h2", "first").join(marks, "first", "left")
     dropped = (
-        lines.select("id", "line", "h1", "h2")
+        lines.select("id", "row", "line", "h1", "h2")
         .join(verdict, ["h1", "h2"])
-        .withColumn("repeated", F.struct("id", "line") != F.col("first"))
+        .withColumn("repeated", F.struct("id", "row", "line") != F.col("first"))
         .where("repeated or near")
-        .groupBy("id")
+        .groupBy(F.col("id").alias("__meridian_id"), F.col("row").alias("__meridian_row"))
         .agg(
             F.collect_set(F.when(F.col("repeated"), F.col("line"))).alias("__meridian_repeated"),
             F.collect_set(F.when(~F.col("repeated"), F.col("line"))).alias("__meridian_near"),
         )
     )
-    dropped = materialize(dropped.withColumnRenamed("id", "__meridian_id"), "dropped-lines")
+    dropped = materialize(dropped.withColumn("__meridian_drops", F.lit(True)), "dropped-lines")
     for used in (lines, distinct, near):
         discard(used)
     none = F.array().cast("array<int>")
     # the list of dropped lines grows with the documents: a merge join at every size
-    out = docs.drop("n_lines", "n_repeated", "n_near").join(dropped.hint("merge"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)) == F.col("__meridian_id"), "left")
+    out = docs.drop("n_lines", "n_repeated", "n_near").join(dropped.hint("merge"), ["__meridian_id", "__meridian_row"], "left")
     pieces = F.split(F.col(text_col), "\n")
     gone = F.concat(F.coalesce("__meridian_repeated", none), F.coalesce("__meridian_near", none))
     kept = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), gone)
@@ -250,11 +267,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 "n_lines": F.coalesce(F.size("__meridian_pieces"), F.lit(0)).cast("long"),
                 "n_repeated": F.coalesce(F.size("__meridian_repeated"), F.lit(0)).cast("long"),
                 "n_near": F.coalesce(F.size("__meridian_near"), F.lit(0)).cast("long"),
-                text_col: F.when(F.col("__meridian_id").isNull(), F.col(text_col)).otherwise(rebuilt),
+                text_col: F.when(F.col("__meridian_drops").isNull(), F.col(text_col)).otherwise(rebuilt),
             }
         )
         .withColumn("n_lines", F.when(F.col(text_col).isNull(), F.lit(0).cast("long")).otherwise(F.col("n_lines")))
-        .drop("__meridian_id", "__meridian_repeated", "__meridian_near", "__meridian_pieces")
+        .drop("__meridian_id", "__meridian_row", "__meridian_drops", "__meridian_repeated", "__meridian_near", "__meridian_pieces")
     )
 
 
