@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from meridian.llm.common import discard, materialize
 
-#: Lines with fewer words are left alone, and lines with fewer words match only when equal:
-#: one edit in this many words keeps 7/8 of the line.
-MIN_WORDS = 5
-NEAR_WORDS = 8
+#: Lines with fewer words are left alone, and lines with fewer words match only when their words
+#: are equal: one edit in this many words keeps 4/5 of the line.
+MIN_WORDS = 1
+NEAR_WORDS = 5
 #: An odd multiplier, so that powers have inverses modulo 2^64.
 BASE = 0x9E3779B97F4A7C15
 LAST = (1 << 63) - 1
@@ -57,9 +57,10 @@ def _prefix_sums(words: list[bytes]) -> np.ndarray:
     return np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _powers(len(h))[0], dtype=np.uint64)])
 
 
-def line_table(docs: DataFrame) -> DataFrame:
-    """Lines with at least MIN_WORDS words of ``docs(id, row, text)``: id, row, line, a 128-bit hash (h1, h2), and for
-    lines with NEAR_WORDS words or more the hashes of their halves (k1 to k4).
+def line_table(docs: DataFrame, min_words: int, near_words: int, short_bytes: bool) -> DataFrame:
+    """Lines with at least ``min_words`` words of ``docs(id, row, text)``: id, row, line, a 128-bit hash (h1, h2), and for
+    lines with ``near_words`` words or more the hashes of their halves (k1 to k4). The hash of a
+    shorter line is that of its words, or of its bytes for ``short_bytes``.
 
     If one edit makes two lines equal then they agree in their first or in their last h words, h
     being half the words of the shorter. A line is the shorter or one word longer, hence up
@@ -74,11 +75,11 @@ def line_table(docs: DataFrame) -> DataFrame:
                 for doc, row, text in zip(*(c.to_pylist() for c in part.columns[:2]), part.column(2).cast(pa.binary()).to_pylist(), strict=True):
                     for k, line in enumerate((text or b"").split(b"\n")):
                         ws = line.split()
-                        if len(ws) >= MIN_WORDS:
+                        if len(ws) >= min_words:
                             ids.append(doc)
                             rows.append(row)
                             lines.append(k)
-                            hashes.append(xxhash.xxh3_128_digest(line))
+                            hashes.append(xxhash.xxh3_128_digest(line if short_bytes or len(ws) >= near_words else b" ".join(ws)))
                             counts.append(len(ws))
                             words += ws
                 n = np.array(counts, dtype=np.int64)
@@ -90,7 +91,7 @@ def line_table(docs: DataFrame) -> DataFrame:
                     x = (s[a + length] - s[a]) * down[a]  # noqa: B023
                     return _mix(_mix(x) + (2 * length + kind).astype(np.uint64)).view(np.int64)
 
-                small = n < NEAR_WORDS
+                small = n < near_words
                 odd = n % 2 == 1
                 cols = []
                 for half, none in ((n // 2, small), ((n - 1) // 2, small | odd)):
@@ -213,15 +214,23 @@ def _with_place(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return named.unionByName(unnamed)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    min_words: int = MIN_WORDS,
+    near_words: int = NEAR_WORDS,
+    short_bytes: bool = False,
+) -> DataFrame:
     """``docs`` with repeated and near-repeated lines taken out of the text, and the columns
     n_lines, n_repeated and n_near (lines of the text, and those dropped as equal to, or within one
     word edit of, an earlier line).
 
     Lines are what ``\\n`` separates; words are split at ASCII white space. A line with at least
-    MIN_WORDS words goes if an equal line stands earlier, in the order of (id, row, line number); with at
-    least NEAR_WORDS words also if an earlier line, dropped or not, is within one insertion, deletion or
-    substitution of a word. Other lines stay. Null texts stay null (no lines) and empty ones empty. Rows
+    ``min_words`` words goes if an equal line stands earlier, in the order of (id, row, line number);
+    with fewer than ``near_words`` words its words count, not its spaces (its bytes for
+    ``short_bytes``); with ``near_words`` or more it also goes if an earlier line of so many words,
+    dropped or not, is within one insertion, deletion or substitution of a word. Other lines stay. Null texts stay null (no lines) and empty ones empty. Rows
     with equal ids and texts count as one document and lose the same lines; equal ids with different
     texts are documents apart, in the order of a hash of the text. Rows with null ids come last, each
     a document of its own. Columns of ``docs`` named like the added ones are replaced, others pass through; an empty
@@ -229,7 +238,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     docs = _with_place(docs, id_col, text_col)
     narrow = docs.select(F.col("__meridian_id").alias("id"), F.col("__meridian_row").alias("row"), F.col(text_col).cast("string").alias("text"))
-    lines = materialize(line_table(narrow), "lines")
+    lines = materialize(line_table(narrow, min_words, near_words, short_bytes), "lines")
     distinct = materialize(
         lines.groupBy("h1", "h2").agg(
             F.min(F.struct("id", "row", "line")).alias("first"), *[F.first(k).alias(k) for k in ("k1", "k2", "k3", "k4")]
@@ -276,7 +285,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
-    return dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    """With the bounds of OP6_SQL: lines of 1 to 4 words stay, those of 5 to 7 match by their bytes."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return dedup_lines(docs, min_words=5, near_words=8, short_bytes=True)
 
 
 OP6_SQL = r"""

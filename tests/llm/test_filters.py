@@ -116,14 +116,21 @@ def test_line_dedup_edge_cases(spark):
 
 def test_line_dedup_keeps_rows_of_one_id_apart(spark):
     line = "this line of five words"
-    rows = [(1, f"{line}\nanother line that stands once"), (None, f"{line}\nunique text of row a"), (None, f"nothing of this is elsewhere\n{line}"),
-            (None, f"{line}\nunique text of row b"), (5, "first text of the id five"), (5, f"{line}\nsecond text of id five"),
+    rows = [(1, f"{line}\nanother line that stands once"), (None, f"{line}\nunique text of one row"), (None, f"nothing of this is elsewhere\n{line}"),
+            (None, f"{line}\nwhat only another row holds"), (5, "first text of the id five"), (5, f"{line}\nsecond text of id five"),
             (None, "only rows without id hold this"), (None, "only rows without id hold this")]
     got = sorted((r.doc_id or 0, r.text) for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
-    assert got == sorted([(1, rows[0][1]), (0, "unique text of row a"), (0, "nothing of this is elsewhere"), (0, "unique text of row b"),
+    assert got == sorted([(1, rows[0][1]), (0, "unique text of one row"), (0, "nothing of this is elsewhere"), (0, "what only another row holds"),
                           (5, rows[4][1]), (5, "second text of id five"), (0, rows[6][1]), (0, "")])
 
 
+def test_line_dedup_matches_short_lines(spark):
+    rows = [(1, "All rights reserved.\none\nfive words are enough here"), (2, "All  rights reserved.\r\n\none two"),
+            (3, "one\nfive words were enough here\n \none too")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in L.dedup_lines(df).collect()} == {1: rows[0][1], 2: "\none two", 3: " \none too"}
+
+
 def targets(sizes):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
