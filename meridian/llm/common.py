@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,9 +33,13 @@ def let(value: Column, body) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share (``spark.checkpoint.dir``); a local one where unset."""
+    """Folder that driver and executors share (``spark.checkpoint.dir``); where it is unset, a local one if
+    the whole session is one process, else an error: executors would each write to their own disk."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that driver and executors share (master {master})")
         folder = tempfile.mkdtemp(prefix="meridian-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         path = f"file://{folder}"
@@ -69,6 +75,26 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _roots(label: np.ndarray) -> np.ndarray:
+    while True:
+        up = label[label]
+        if np.array_equal(up, label):
+            return label
+        label = up
+
+
+def link(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Merge the groups of linked rows: roots hook to the least root until all links agree."""
+    while True:
+        ra, rb = label[a], label[b]
+        open_ = ra != rb
+        if not open_.any():
+            return label
+        a, b, ra, rb = a[open_], b[open_], ra[open_], rb[open_]
+        np.minimum.at(label, np.maximum(ra, rb), np.minimum(ra, rb))
+        label = _roots(label)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Smallest reachable id of every node of ``edges(a long, b long)``: rows (node, component).
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.common import connected_components, discard, materialize
+from meridian.llm.common import connected_components, discard, link, materialize
 
 BITS = 64
 #: A pair of trie nodes goes to one task when both hold at most so many fingerprints.
@@ -59,26 +59,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 # -- the trie inside one task ------------------------------------------------------------------
 
 
-def _roots(label: np.ndarray) -> np.ndarray:
-    while True:
-        up = label[label]
-        if np.array_equal(up, label):
-            return label
-        label = up
-
-
-def _link(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Merge the groups of linked rows: roots hook to the least root until all links agree."""
-    while True:
-        ra, rb = label[a], label[b]
-        open_ = ra != rb
-        if not open_.any():
-            return label
-        a, b, ra, rb = a[open_], b[open_], ra[open_], rb[open_]
-        np.minimum.at(label, np.maximum(ra, rb), np.minimum(ra, rb))
-        label = _roots(label)
-
-
 def trie_join(unit: np.ndarray, side: np.ndarray, key: np.ndarray, depth: int, diff: np.ndarray, budget: int) -> np.ndarray:
     """Group label of every row (sorted by unit, side, key): rows within ``budget`` bits are joined.
 
@@ -129,7 +109,7 @@ def trie_join(unit: np.ndarray, side: np.ndarray, key: np.ndarray, depth: int, d
                 w = (bhi - blo)[s][at]
                 a, b = alo[s][at] + off // w, blo[s][at] + off % w
                 near = np.bitwise_count(key[a] ^ key[b]) <= budget
-                label = _link(label, a[near], b[near])
+                label = link(label, a[near], b[near])
         g = np.flatnonzero(live & ~small)
         if not len(g):
             continue
@@ -275,14 +255,18 @@ def near_duplicates(
 
     Equal fingerprints are one node from the start, so exact copies cost one row. Null and empty
     texts have fingerprint zero and are linked like any other; repeated rows come out repeated;
-    null ids are grouped by their fingerprint but never name a component unless alone in it
-    (component_id is then null); an empty table gives an empty table.
+    rows with null ids link like others but never name a component (component_id is null where
+    no row of it has an id); an empty table gives an empty table. Only the two named columns are read.
     """
     fps = materialize(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
-    nodes = fps.groupBy("fp").agg(F.min("id").alias("node"))
-    known = materialize(nodes.where("node is not null"), "nodes")
-    parts = connected_components(near_fingerprints(known, budget))
-    named = nodes.join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    nodes = materialize(fps.groupBy("fp").agg(F.min("id").alias("id")), "nodes")
+    links = near_fingerprints(nodes.select("fp", F.col("fp").alias("node")), budget)
+    parts = connected_components(links).withColumnRenamed("node", "fp")
+    placed = nodes.join(parts, "fp", "left").select("fp", "id", F.coalesce("component", "fp").alias("component"))
+    least = placed.groupBy("component").agg(F.min("id").alias("component_id"))
+    named = materialize(placed.join(least, "component").select("fp", "component_id"), "groups")
+    for used in (nodes, links):
+        discard(used)
     return fps.join(named, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
