@@ -90,6 +90,29 @@ def test_simhash_edge_cases(spark):
     assert S.fingerprint(long.encode()) == slow_fingerprint("abc abc abc")
 
 
+def test_simhash_links_through_rows_without_id(spark, monkeypatch):
+    fake = spark.createDataFrame([(1, 0), (None, 7), (2, 63), (None, -1), (8, 1 << 40)], "id long, fp long")
+    monkeypatch.setattr(S, "fingerprints", lambda *a: fake)
+    got = S.near_duplicates(spark.createDataFrame([], "doc_id long, text string, component string, fp string")).collect()
+    key = lambda r: (r[1], r[0] or 0)
+    assert sorted(map(tuple, got), key=key) == sorted(
+        [(1, "0" * 16, 1), (None, "0" * 15 + "7", 1), (2, "0" * 14 + "3f", 1), (None, "f" * 16, None), (8, f"{1 << 40:016x}", 1)], key=key)
+
+
+def test_embeddings_are_dealt_to_cells(spark):
+    """The registered query works with several cells on a few thousand vectors."""
+    counted, plain = [], E.assign_cells
+    def counting(vectors, pivots, *rest):
+        counted.append(sum(map(len, pivots.values())))
+        return plain(vectors, pivots, *rest)
+    E.assign_cells = counting
+    try:
+        assert E.op2_embedding_dedup(spark, "/root/testdata/sf0.1").count() == 2000
+    finally:
+        E.assign_cells = plain
+    assert counted[0] > 1
+
+
 def brute_links(vecs, threshold=0.95):
     ok = {i: np.array(v, float) for i, v in vecs if v is not None and None not in v and np.isfinite(v).all() and any(v)}
     return [
@@ -99,8 +122,10 @@ def brute_links(vecs, threshold=0.95):
     ]
 
 
-@pytest.mark.parametrize("block", [8, 64, 2048])
-def test_embeddings_equal_all_pairs(spark, block):
+@pytest.mark.parametrize(("block", "cell_rows", "copies"), [(8, 16, 100), (64, 4, 4), (2048, 512, 4)])
+def test_embeddings_equal_all_pairs(spark, monkeypatch, block, cell_rows, copies):
+    monkeypatch.setattr(E, "MAX_COPIES", copies)
+    monkeypatch.setattr(E, "STRIP", 7)
     rng = np.random.default_rng(5)
     rows = []
     for k in range(12):
@@ -108,7 +133,10 @@ def test_embeddings_equal_all_pairs(spark, block):
         for _ in range(3 if k else 40):
             rows.append((len(rows), [float(np.float32(x)) for x in c * rng.uniform(0.5, 2) + rng.normal(size=16) * 0.12]))
     rows += [(len(rows) + i, [float(np.float32(x)) for x in rng.normal(size=16)]) for i in range(80)]
-    got = {r.vec_id: r for r in E.near_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), block=block).collect()}
+    c = rng.normal(size=16)  # one tight group, the core of a cell
+    rows += [(len(rows) + i, [float(np.float32(x)) for x in c + rng.normal(size=16) * 0.005]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {r.vec_id: r for r in E.near_embeddings(df, block=block, cell_rows=cell_rows).collect()}
     links = brute_links(rows)
     want = components([r[0] for r in rows], links)
     degree = {i: sum(i in e for e in links) for i in want}
@@ -126,4 +154,12 @@ def test_embedding_edge_cases(spark):
         by.setdefault(r.vec_id, []).append((r.n_links, r.component_id))
     assert by[1] == [(4, 1)] and by[2] == [(4, 1)] * 2 and by[10] == [(4, 1)] and by[None] == [(4, 1)]
     assert all(by[i] == [(0, i)] for i in (3, 4, 5, 6, 7, 8, 9))
+    rows = [(1, [1.0, 0.0], "a"), (None, [1.0, 0.01], "b"), (9, [0.0, 1.0], "c"), (9, [1.0, 0.02], "d"), (None, [-1.0, 0.5], "e"), (None, None, "f")]
+    got = E.near_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>, key string")).collect()
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    assert sorted(map(tuple, got), key=key) == sorted(
+        [(1, 2, 1, True), (None, 2, 1, False), (9, 0, 9, True), (9, 2, 1, False), (None, 0, None, True), (None, 0, None, True)], key=key)
+    rows = [(1, [1.0, 0.0]), (2, [1e200, 1e199]), (3, [1e-200, 0.0]), (4, [5e-324, 0.0]), (5, [0.0, -1e300])]
+    got = E.near_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 3, 1), (2, 3, 1), (3, 3, 1), (4, 3, 1), (5, 0, 5)]
     assert E.near_embeddings(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
