@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import glob
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -20,6 +21,12 @@ SEQ_LEN = 2048
 #: Tokens that a task gathers before it packs them.
 POOL_TOKENS = 1 << 21
 
+#: White space as the pre-tokenizer sees it, runs of it that it cannot match in one go, and characters encoded at a time.
+BLANK = "\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+GAP = re.compile(f"[{BLANK}]{{1000,}}")
+BREAK = re.compile(f"(?<=[^{BLANK}])[{BLANK}]")
+STEP = 1 << 20
+
 _loaded: dict[tuple[str, str], object] = {}
 
 
@@ -36,6 +43,30 @@ def tokenizer(folder: str = TOKENIZERS, name: str = "byte_bpe_50k.tiktoken"):
     return _loaded[folder, name]
 
 
+def encode(enc, text: str) -> np.ndarray:
+    """The ids of a whole text, the same as ``encode_ordinary`` gives, for texts and gaps of any length.
+
+    The pre-tokenizer always splits where white space follows something else, so long texts are
+    cut there and encoded step by step. A run of white space is one piece of its own, without
+    its last character if text follows; long runs skip the pattern, whose stack they would overflow.
+    """
+
+    def plain(at: int, end: int) -> None:
+        while at < end:
+            cut = BREAK.search(text, at + STEP, end) if end - at > STEP else None
+            stop = cut.start() if cut else end
+            ids.append(enc.encode_to_numpy(text[at:stop], disallowed_special=()))
+            at = stop
+
+    ids, at = [], 0
+    for gap in GAP.finditer(text) if len(text) >= 1000 else ():
+        plain(at, gap.start())
+        at = gap.end() if gap.end() == len(text) else gap.end() - 1
+        ids.append(np.array(enc._encode_single_piece(text[gap.start() : at]), dtype=np.uint32))
+    plain(at, len(text))
+    return np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+
+
 class CapacityTree:
     """Segment tree over the counts of bins by room: the least room that is at least a size."""
 
@@ -124,9 +155,10 @@ def token_rows(
 
     Every text, and then ``end_id`` unless None, is encoded whole; a document longer than ``seq_len`` is
     cut into segments that together give back all its tokens. Tasks pack their own documents pool by
-    pool, so no text is shuffled; the ids of rows depend on how the input is split. Null texts are
-    empty: just an end token, or nothing without one. Null ids and repeated rows are kept; an
-    empty table gives no rows.
+    pool, so no text is shuffled; which documents share a row, and the ids of rows, depend on how the
+    input is split. Null texts are empty: just an end token, or nothing without one. Null ids and
+    repeated rows are kept; other columns are not read; an empty table gives no rows. ``folder`` must
+    hold the tokenizer on every worker.
     """
     wide = max(end_id or 0, pad_id) >= 1 << 16
 
@@ -162,10 +194,8 @@ def token_rows(
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    ids = enc.encode_ordinary(text or "")
-                    if end_id is not None:
-                        ids.append(end_id)
-                    pool.add(doc, np.array(ids, dtype=kind), seq_len)
+                    ids = encode(enc, text or "").astype(kind)
+                    pool.add(doc, ids if end_id is None else np.append(ids, np.array(end_id, dtype=kind)), seq_len)
                     if pool.tokens >= pool_tokens:
                         yield from flush(pool)
                         pool = _Pool()
