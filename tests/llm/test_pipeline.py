@@ -1,11 +1,10 @@
 """The pipeline against a plain Python version of its stages."""
 
-import hashlib
-
 import corpus_pipeline as C
 from test_dedup import components, slow_fingerprint
-from test_filters import slow_dedup, split, targets
+from test_filters import slow_dedup, slow_mix, split
 
+from meridian.llm import mixing as M
 from meridian.llm import quality_rules as Q
 
 SF = "/root/testdata/sf0.001"
@@ -23,20 +22,8 @@ def slow_pipeline(spark, rows):
     fp = {i: slow_fingerprint(t) for i, t, _ in cleaned}
     links = [(a, b) for a in fp for b in fp if a < b and bin(fp[a] ^ fp[b]).count("1") <= 3]
     first = components(fp, links)
-    docs = [(i, len(split(t)), s) for i, t, s in cleaned if first[i] == i]
-    sizes = {}
-    for _, n, s in docs:
-        sizes[s] = sizes.get(s, 0) + n
-    want, out = targets(sizes), []
-    for s in sizes:
-        take, at = round(want[s]), 0
-        whole = take // sizes[s]
-        for i, n, _ in sorted((d for d in docs if d[2] == s), key=lambda d: hashlib.md5(f"0|{d[0]}".encode()).hexdigest()):
-            out += [(i, n)] * whole
-            rest = max(0, min(n, take - whole * sizes[s] - at))
-            out += [(i, rest)] * (rest > 0)
-            at += n
-    return sorted(out)
+    mixed, _ = slow_mix([(i, t, s) for i, t, s in cleaned if first[i] == i], M.LEAST_SHARDS, 0)
+    return sorted((i, p[1]) for i, _, _, pieces in mixed for p in pieces)
 
 
 def run(spark, rows, tmp_path):
