@@ -52,13 +52,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A text comes back by the hash of its whole row, so only rows equal in every column share one.
     """
     known = docs.select(COLUMNS).withColumn("_hash", F.xxhash64(*[f(c) for c in COLUMNS for f in (F.isnull, F.col)]))
-    pieces = mixing.mix(known, carry=["_hash"]).where("copy is not null")
-    pieces = pieces.select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_row"), "words", "shard", "shuffle_key")
+    mixed = mixing.mix(known, carry=["_hash"]).select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_row"), F.explode("pieces").alias("_piece"))
     texts = known.withColumn("_size", n_words(F.col("text"))).where("_size > 0").dropDuplicates(["doc_id", "_hash"])
-    taken = texts.join(pieces, texts["doc_id"].eqNullSafe(pieces["_id"]) & (texts["_hash"] == pieces["_row"]))
-    text = F.when(F.col("words") == texts["_size"], F.col("text")).otherwise(mixing.take_words(F.col("text"), F.col("words")))
-    dealt = taken.withColumn("text", text).repartition("shard", F.shiftrightunsigned("shuffle_key", 58))
-    return _with_length(dealt.sortWithinPartitions("shard", "shuffle_key"))
+    taken = texts.join(mixed, texts["doc_id"].eqNullSafe(mixed["_id"]) & (texts["_hash"] == mixed["_row"]))
+    words = F.col("_piece.words")
+    text = F.when(words == F.col("_size"), F.col("text")).otherwise(mixing.take_words(F.col("text"), words))
+    place = mixing.shuffle_key(0, F.col("_piece.shard"), F.col("doc_id"), F.col("_hash"), F.col("_piece.copy"))
+    dealt = taken.withColumn("text", text).withColumn("_place", place).repartition("_piece.shard")
+    return _with_length(dealt.sortWithinPartitions("_piece.shard", "_place"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
