@@ -1,10 +1,11 @@
-"""LM scoring: bigram deleted interpolation with mixture weights by context frequency, learned by EM.
+"""LM scoring: trigram deleted interpolation with mixture weights by context frequency, learned by EM.
 
 The texts are cut into blocks of tokens. A block is one row: its vocabulary as hashes and its
 documents as ids into it. Each block sends the distinct n-grams it holds, with its own counts, to
 hash partitions, which add them up and send back to each block the totals of its n-grams, in the
 order of their hashes. So a frequent n-gram costs an entry per block, not per occurrence, and no
-table of the corpus has to fit in a task or the driver.
+table of the corpus has to fit in a task or the driver. A block and a partition exchange a row only if
+they share an n-gram, so there are never more rows than distinct n-grams in blocks.
 """
 
 from __future__ import annotations
@@ -22,14 +23,18 @@ from pyspark.sql import functions as F
 from meridian.llm.common import bucketed, discard, materialize
 
 #: Tokens of a block, and n-grams of a hash partition (about).
-BLOCK_TOKENS = 1_500_000
-PART_KEYS = 3_000_000
-#: Most buckets that blocks and totals are dealt to; a bucket works off its blocks one by one.
-MOST_BUCKETS = 4096
+BLOCK_TOKENS = 1_000_000
+PART_KEYS = 2_000_000
+#: Spark's own limit of buckets (spark.sql.sources.bucketing.maxBuckets) that blocks and totals are dealt to; a
+#: bucket works off its blocks one by one, so beyond it tasks get longer, not larger.
+MOST_BUCKETS = 100_000
 EM_ROUNDS = 20
 #: Steps per octave in which relative frequencies are told apart when the weights are learned.
-GRID = 8
-UNI, BI = 0, 1
+GRID = 16
+#: Bits of a bigram's or trigram's hash beyond those that number the tokens: one n-gram in 2^24 meets another's.
+SPARE_BITS = 24
+UNI, BI, TRI = 0, 1, 2
+KINDS = (UNI, BI, TRI)
 #: Local ids 0 and 1: what stands before the first word, and the token after the last.
 BEGIN, END = 0, 1
 A, B, HELD_OUT = 0, 1, 2
@@ -60,7 +65,7 @@ BLOCKS = "block long, tokens long, vocabulary binary, ids binary, starts binary,
 
 
 def block_table(docs: DataFrame, block_tokens: int) -> DataFrame:
-    """Blocks of ``docs(id, fold, text)``. ids holds, for each (part of a) document, the token before it
+    """Blocks of ``docs(id, fold, text)``. ids holds, for each (part of a) document, the two tokens before it
     and its tokens; starts where each begins. A long document may go on in the next block;
     ends marks its last part, row names the input row.
     """
@@ -84,7 +89,7 @@ def block_table(docs: DataFrame, block_tokens: int) -> DataFrame:
             names = ["block", "tokens", "vocabulary", "ids", "starts", "documents"]
             kind = pa.list_(pa.struct([("row", pa.int64()), ("id", pa.int64()), ("fold", pa.int32()), ("ends", pa.bool_())]))
             values = [
-                pa.array([task + blocks], pa.int64()), pa.array([len(ids) - len(parts)], pa.int64()),
+                pa.array([task + blocks], pa.int64()), pa.array([len(ids) - 2 * len(parts)], pa.int64()),
                 *[pa.array([_pack(x)], pa.binary()) for x in (words[np.concatenate([[0, 1], order])], rank[ids], starts)],
                 pa.array([documents], kind),
             ]
@@ -101,16 +106,16 @@ def block_table(docs: DataFrame, block_tokens: int) -> DataFrame:
                 texts = part.column("text").cast(pa.binary()).to_pylist()
                 for doc, fold, text in zip(part.column("id").to_pylist(), part.column("fold").to_pylist(), texts, strict=True):
                     words = (text or b"").lower().split()
-                    before, first, total = None, 0, len(words) + 1
+                    before, first, total = [42, 42], 0, len(words) + 1
                     while first < total:
                         took = min(total - first, max(1, block_tokens - held))
                         mine = words[first : first + took]
-                        ids = [BEGIN if before is None else local.setdefault(before, len(local))]
+                        ids = [local.setdefault(w, len(local)) for w in before]
                         ids += [local.setdefault(w, len(local)) for w in mine]
                         first += took
                         if first == total:
                             ids.append(END)
-                        before = mine[-1] if mine else before
+                        before = [*before, *mine[-2:]][-2:]
                         parts.append(np.array(ids, dtype=np.uint32))
                         documents.append({"row": task + rows, "id": doc, "fold": fold, "ends": first == total})
                         held += took
@@ -124,55 +129,84 @@ def block_table(docs: DataFrame, block_tokens: int) -> DataFrame:
     return docs.mapInArrow(run, BLOCKS)
 
 
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two hashes."""
+    x = a * np.uint64(0x9E3779B97F4A7C15) ^ (b + (b << np.uint64(31)))
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    return x ^ (x >> np.uint64(29))
+
+
+def hash_bits(tokens: int) -> int:
+    return min(64, SPARE_BITS + max(1, tokens).bit_length())
+
+
 class Block:
-    """A block taken apart: per token its context, its document part, and the local n-grams."""
+    """A block taken apart: for each token its fold, document part and words, and the places of its n-grams and of its
+    contexts in the block's own lists of distinct n-grams (the hashes of pairs and triples in order)."""
 
-    def __init__(self, row: dict):
+    def __init__(self, row: dict, bits: int):
         self.name = row["block"]
-        self.vocabulary = _unpack(row["vocabulary"], "<u8")
+        words = _unpack(row["vocabulary"], "<u8")
         ids, starts = _unpack(row["ids"], "<u4").view(np.int32), _unpack(row["starts"], "<u4").astype(np.int64)
         self.documents = row["documents"]
-        lead = np.zeros(len(ids), bool)
-        lead[starts[:-1]] = True
-        at = np.flatnonzero(~lead)
-        self.token, self.context = ids[at], ids[at - 1]
-        self.part = np.repeat(np.arange(len(starts) - 1, dtype=np.int32), np.diff(starts) - 1)
+        first, second = np.zeros(len(ids), bool), np.zeros(len(ids), bool)
+        first[starts[:-1]], second[starts[:-1] + 1] = True, True
+        at = np.flatnonzero(~first)
+        lead = second[at]
+        part = np.repeat(np.arange(len(starts) - 1, dtype=np.int32), np.diff(starts) - 1)
         fold = np.array([d["fold"] for d in self.documents], dtype=np.int8)
+        begins = ids[starts[:-1] + 1] == BEGIN
+        shift = np.uint64(64 - bits)
+        pair = _joined(words[ids[at - 1]], words[ids[at]])
+        pairs, pair_of = np.unique(pair >> shift, return_inverse=True)
+        pair_of = pair_of.astype(np.int32)
+        # the pair before a part counts where the document begins, as often as documents do
+        self._pair_folds = np.where(lead & ~begins[part], HELD_OUT, fold[part]), pair_of
+        token = np.flatnonzero(~lead)
+        triples, triple_of = np.unique(_joined(pair[token - 1], words[ids[at[token]]]) >> shift, return_inverse=True)
+        self.keys = {UNI: words, BI: pairs, TRI: triples}
+        self.token, self.context = ids[at[token]], ids[at[token] - 1]
+        self.pair_of, self.pair_context, self.triple_of = pair_of[token], pair_of[token - 1], triple_of.astype(np.int32)
+        self.part = part[token]
         self.fold = fold[self.part]
-        self.begins = [int(((fold == f) & (ids[starts[:-1]] == BEGIN)).sum()) for f in (A, B)]
-        pairs, pair_of = np.unique(self.context.astype(np.int64) * len(self.vocabulary) + self.token, return_inverse=True)
-        self.pair_of = pair_of.astype(np.int32)
-        c, t = self.vocabulary[pairs // len(self.vocabulary)], self.vocabulary[pairs % len(self.vocabulary)]
-        x = c * np.uint64(0x9E3779B97F4A7C15) ^ (t + (t << np.uint64(31)))
-        x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-        self.pair_hash = x ^ (x >> np.uint64(29))
-
-    def counts(self) -> tuple[np.ndarray, np.ndarray]:
-        """Training counts per fold (2 x n) of the words, contexts included, and of the pairs."""
-        words = np.stack([np.bincount(self.token[self.fold == f], minlength=len(self.vocabulary)) for f in (A, B)])
-        words[:, BEGIN] = self.begins
-        pairs = np.stack([np.bincount(self.pair_of[self.fold == f], minlength=len(self.pair_hash)) for f in (A, B)])
-        return words, pairs
+        self.begins = [int((begins & (fold == f)).sum()) for f in (A, B)]
+
+    def counts(self, kind: int) -> np.ndarray:
+        """Training counts per fold (2 x n) of the n-grams of a kind; words count contexts at document starts too."""
+        folds, which = {UNI: (self.fold, self.token), BI: self._pair_folds, TRI: (self.fold, self.triple_of)}[kind]
+        out = np.stack([np.bincount(which[folds == f], minlength=len(self.keys[kind])) for f in (A, B)])
+        if kind == UNI:
+            out[:, BEGIN] = self.begins
+        return out
 
 
 NGRAMS = "kind int, part int, block long, keys binary, a binary, b binary"
 
 
-def block_ngrams(parts: dict[int, int]):
+def _parts(block: Block, kind: int, parts: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of a block's n-grams by hash, the hash partitions that hold any, and where each begins (and the end)."""
+    keys = block.keys[kind]
+    order = np.argsort(keys) if kind == UNI else np.arange(len(keys))
+    top = keys[order] if kind == UNI else keys << np.uint64(64 - bits)
+    part = (top >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)  # partitions are ranges of the hash
+    cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    return order, part[cut].astype(np.int64), np.append(cut, len(keys))
+
+
+def block_ngrams(parts: dict[int, int], bits: int):
     """mapInArrow body: the distinct n-grams of each block, with its counts, by hash partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                b = Block(batch.slice(k, 1).to_pylist()[0])
-                for kind, keys, counts in zip((UNI, BI), (b.vocabulary, b.pair_hash), b.counts(), strict=True):
-                    order = np.argsort(keys)
-                    keys, counts = keys[order], counts[:, order].astype(np.uint32)
-                    edges = _edges(keys, parts[kind])
-                    out = []
-                    for p, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
-                        if hi > lo:
-                            out.append((kind, p, b.name, _pack_sorted(keys[lo:hi]), _pack(counts[0, lo:hi]), _pack(counts[1, lo:hi])))
+                b = Block(batch.slice(k, 1).to_pylist()[0], bits)
+                for kind in KINDS:
+                    order, part, edges = _parts(b, kind, parts[kind], bits)
+                    keys, counts = b.keys[kind][order], b.counts(kind)[:, order].astype(np.uint32)
+                    out = [
+                        (kind, p, b.name, _pack_sorted(keys[lo:hi]), _pack(counts[A, lo:hi]), _pack(counts[B, lo:hi]))
+                        for p, lo, hi in zip(part.tolist(), edges, edges[1:], strict=False)
+                    ]
                     names = ["kind", "part", "block", "keys", "a", "b"]
                     types = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 3]
                     cols = zip(*out, strict=True) if out else [[]] * 6
@@ -216,81 +250,84 @@ def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([v], x) for v, x in zip(reply, types, strict=True)], names=names)
 
 
-def _edges(ordered: np.ndarray, parts: int) -> np.ndarray:
-    """Where each partition begins in sorted hashes, and the end: partitions are ranges of the hash."""
-    return np.append(np.searchsorted(ordered, np.array([-(-(p << 64) // parts) for p in range(parts)], dtype=np.uint64)), len(ordered))
-
-
-def _totals(block: Block, parts: dict[int, int], replies: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-    """Counts per fold of the block's words and pairs over all training documents."""
+def _totals(block: Block, parts: dict[int, int], bits: int, replies: list[dict]) -> list[np.ndarray]:
+    """Counts per fold of the block's words, pairs and triples over all training documents."""
     out = []
-    for kind, keys in ((UNI, block.vocabulary), (BI, block.pair_hash)):
-        order = np.argsort(keys)
-        edges = _edges(keys[order], parts[kind])
-        counts = np.zeros((2, len(keys)), np.int64)
+    for kind in KINDS:
+        order, part, edges = _parts(block, kind, parts[kind], bits)
+        place = {p: k for k, p in enumerate(part.tolist())}
+        counts = np.zeros((2, len(order)), np.int64)
         for r in replies:
             if r["kind"] == kind:
-                at = order[edges[r["part"]] : edges[r["part"] + 1]]
+                k = place[r["part"]]
+                at = order[edges[k] : edges[k + 1]]
                 counts[A, at], counts[B, at] = _unpack(r["a"], "<u8"), _unpack(r["b"], "<u8")
         out.append(counts)
-    return out[0], out[1]
+    return out
 
 
-def _bucket(context_counts: np.ndarray) -> np.ndarray:
-    """Bucket of a context: 0 if never seen, else one more than the whole part of log2 of its count."""
-    return np.where(context_counts > 0, np.log2(np.maximum(context_counts, 1)).astype(np.int64) + 1, 0)
+def _bucket(pairs: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Bucket of a context by its frequency: 64 and more by octaves of the pair's count, if it was seen; else, by
+    octaves of the last word's count, 1 and more, or 0 if that is new too."""
+    octave = lambda c: np.log2(np.maximum(c, 1)).astype(np.int64) + 1
+    return np.where(pairs > 0, 63 + octave(pairs), np.where(words > 0, octave(words), 0))
 
 
-def _opened(left: pa.Table, right: pa.Table, parts: dict[int, int]) -> tuple[Block, np.ndarray, np.ndarray]:
-    """The one block of a group, with the totals of its words and pairs."""
-    b = Block(left.to_pylist()[0])
-    return b, *_totals(b, parts, right.to_pylist())
+def _frequencies(b: Block, words: np.ndarray, pairs: np.ndarray, triples: np.ndarray, tokens: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Bucket of each token's context and the token's relative frequencies after two words, after one, and in all."""
+    c2, c1 = pairs[b.pair_context], words[b.context]
+    f = [triples[b.triple_of] / np.maximum(c2, 1), pairs[b.pair_of] / np.maximum(c1, 1), words[b.token] / max(1, tokens)]
+    return _bucket(c2, c1), f
 
 
-CELLS = "bucket int, g2 int, g1 int, f2 double, f1 double, n double"
+CELLS = "bucket int, g3 int, g2 int, g1 int, f3 double, f2 double, f1 double, n double"
 
 
-def held_out_cells(tokens: list[int], parts: dict[int, int]):
+def held_out_cells(tokens: list[int], parts: dict[int, int], bits: int):
     """cogroup body: the tokens of one training fold under the relative frequencies of the other,
-    gathered by bucket and by both frequencies on a grid of 1/GRID octaves (their means are kept)."""
+    gathered by bucket and by the frequencies on a grid of 1/GRID octaves (their means are kept)."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        b, words, pairs = _opened(left, right, parts)
+        b = Block(left.to_pylist()[0], bits)
+        totals = _totals(b, parts, bits, right.to_pylist())
         got = []
         for held, other in ((A, B), (B, A)):
+            bucket, f = _frequencies(b, *[t[other] for t in totals], tokens[other])
             pick = b.fold == held
-            ctx = words[other][b.context[pick]]
-            f2 = pairs[other][b.pair_of[pick]] / np.maximum(ctx, 1)
-            f1 = words[other][b.token[pick]] / max(1, tokens[other])
-            got.append((_bucket(ctx), f2, f1))
-        bucket, f2, f1 = (np.concatenate(x) for x in zip(*got, strict=True))
-        g2, g1 = (np.where(f > 0, np.round(np.log2(np.maximum(f, 1e-300)) * GRID), 1).astype(np.int64) for f in (f2, f1))
-        cell, inverse = np.unique((bucket << 40) | ((g2 + 8192) << 20) | (g1 + 8192), return_inverse=True)
+            got.append((bucket[pick], *[x[pick] for x in f]))
+        bucket, *f = (np.concatenate(x) for x in zip(*got, strict=True))
+        code = bucket
+        for x in f:  # eleven bits each; 1 stands for a frequency of zero
+            code = (code << 11) | (np.where(x > 0, np.round(np.log2(np.maximum(x, 1e-18)) * GRID), 1).astype(np.int64) + 1024)
+        cell, inverse = np.unique(code, return_inverse=True)
         n = len(cell)
         cols = [
-            pa.array((cell >> 40).astype(np.int32)),
-            pa.array(((cell >> 20 & 0xFFFFF) - 8192).astype(np.int32)),
-            pa.array(((cell & 0xFFFFF) - 8192).astype(np.int32)),
-            *[pa.array(np.bincount(inverse, weights=f, minlength=n).astype(float)) for f in (f2, f1)],
+            pa.array((cell >> 33).astype(np.int32)),
+            *[pa.array((cell >> s & 0x7FF).astype(np.int32)) for s in (22, 11, 0)],
+            *[pa.array(np.bincount(inverse, weights=x, minlength=n).astype(float)) for x in f],
             pa.array(np.bincount(inverse, minlength=n).astype(float)),
         ]
-        return pa.Table.from_arrays(cols, names=["bucket", "g2", "g1", "f2", "f1", "n"])
+        return pa.Table.from_arrays(cols, names=["bucket", "g3", "g2", "g1", "f3", "f2", "f1", "n"])
 
     return run
 
 
-def learn_weights(cells: DataFrame, uniform: float, rounds: int = EM_ROUNDS) -> dict[int, tuple[float, float, float]]:
-    """EM on the held-out counts: weights of bigram, unigram and uniform for each context bucket.
+#: Weights that EM starts from and, without held-out tokens, of contexts that are new.
+START, NEW = (0.3, 0.3, 0.3, 0.1), (0.0, 0.0, 0.9, 0.1)
+
+
+def learn_weights(cells: DataFrame, uniform: float, rounds: int = EM_ROUNDS) -> dict[int, tuple[float, ...]]:
+    """EM on the held-out counts: weights of trigram, bigram, unigram and uniform for each context bucket.
 
-    Each round is one aggregation; one row per bucket (at most 65) comes back.
+    Each round is one aggregation; one row per bucket (at most 128) comes back.
     """
-    weights: dict[int, tuple[float, float, float]] = {}
+    weights: dict[int, tuple[float, ...]] = {}
     for _ in range(rounds):
         known = [x for k, w in weights.items() for x in (F.lit(k), F.array(*map(F.lit, w)))]
-        start = F.array(F.lit(0.4), F.lit(0.5), F.lit(0.1))
+        start = F.array(*map(F.lit, START))
         w = F.coalesce(F.try_element_at(F.create_map(*known), F.col("bucket")), start) if known else start
-        top = [w[0] * F.col("f2"), w[1] * F.col("f1"), w[2] * F.lit(uniform)]
-        p = top[0] + top[1] + top[2]
+        top = [w[i] * x for i, x in enumerate((F.col("f3"), F.col("f2"), F.col("f1"), F.lit(uniform)))]
+        p = top[0] + top[1] + top[2] + top[3]
         got = cells.groupBy("bucket").agg(*[F.sum(F.col("n") * x / p).alias(f"w{i}") for i, x in enumerate(top)]).collect()
         weights = {r.bucket: tuple(max(x, 1e-9 * sum(r[1:])) / sum(r[1:]) for x in r[1:]) for r in got}
         weights = {k: tuple(x / sum(w) for x in w) for k, w in weights.items()}
@@ -300,16 +337,18 @@ def learn_weights(cells: DataFrame, uniform: float, rounds: int = EM_ROUNDS) ->
 SCORES = "row long, id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def score_blocks(types: int, tokens: list[int], parts: dict[int, int], weights: dict[int, tuple[float, float, float]]):
+def score_blocks(types: int, tokens: list[int], parts: dict[int, int], bits: int, weights: dict[int, tuple[float, ...]]):
     """cogroup body: sums over the tokens of each document part."""
-    table = np.array([weights.get(k, (0.0, 0.9, 0.1)) for k in range(66)])
+    table = np.array([weights.get(k, NEW) for k in range(128)])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        b, words, pairs = _opened(left, right, parts)
-        total = sum(tokens)
-        c1, c, c2 = words.sum(axis=0)[b.context], words.sum(axis=0)[b.token], pairs.sum(axis=0)[b.pair_of]
-        w = table[_bucket(c1)]
-        p = w[:, 0] * c2 / np.maximum(c1, 1) + w[:, 1] * c / max(1, total) + w[:, 2] / (types + 1)
+        b = Block(left.to_pylist()[0], bits)
+        totals = [t.sum(axis=0) for t in _totals(b, parts, bits, right.to_pylist())]
+        total, c = sum(tokens), totals[UNI][b.token]
+        bucket, f = _frequencies(b, *totals, total)
+        p = table[bucket, 3] / (types + 1)
+        for i, x in enumerate(f):
+            p += table[bucket, i] * x
         base = np.log10((c + 0.5) / (total + 0.5 * (types + 1)))
         n = len(b.documents)
         cols = [
@@ -338,14 +377,14 @@ def score_documents(
 
     Tokens are the words (A-Z lower-cased, split at ASCII white space) and one end token. Training
     documents are those outside ``held_out`` (a condition; by default crc32 of the id as text, modulo
-    5, is 1). The model is P(w|v) = l2 c(vw)/c(v) + l1 c(w)/N + l0/(V+1), the l by bucket of c(v);
+    5, is 1). The model is P(w|uv) = l3 c(uvw)/c(uv) + l2 c(vw)/c(v) + l1 c(w)/N + l0/(V+1), the l by bucket of c(uv), or of c(v) if uv is new;
     the training documents are two folds, the tokens of each are held out from the counts of
     the other, and EM on these held-out counts gives the l. Counts then join both folds.
     score is the log10 probability of the document, base_score the one of the add-half unigram.
 
     Null and empty texts are one end token; a null id counts as an empty text id (not held out);
-    repeated rows are scored as often as they stand and count as often; an empty table gives an
-    empty table. Without training documents every count is zero.
+    repeated rows are scored as often as they stand and count as often; other columns are not read; an
+    empty table gives an empty table. Without training documents every count is zero.
     """
     crc = F.crc32(F.encode(F.coalesce(F.col(id_col).cast("string"), F.lit("")), "UTF-8"))
     out = (crc % 5 == 1) if held_out is None else held_out
@@ -355,22 +394,21 @@ def score_documents(
     buckets = max(1, min(MOST_BUCKETS, -(-about // (6 * block_tokens))))
     blocks = bucketed(block_table(narrow, block_tokens), "blocks", "block", buckets)
     size = blocks.agg(F.sum("tokens")).first()[0] or 0
-    parts = {UNI: max(1, -(-size // (2 * part_keys))), BI: max(1, -(-size // part_keys))}
-    ngrams = blocks.mapInArrow(block_ngrams(parts), NGRAMS)
+    parts, bits = {kind: max(1, -(-size // (part_keys * (2 if kind == UNI else 1)))) for kind in KINDS}, hash_bits(size)
+    ngrams = blocks.mapInArrow(block_ngrams(parts, bits), NGRAMS)
     replies = ngrams.groupBy("kind", "part").applyInArrow(add_up, REPLIES)
     replies = bucketed(replies.repartition(buckets, "block"), "counts", "block", buckets)
     sums = replies.where(f"block is null and kind = {UNI}").agg(F.sum("types"), F.sum("tokens_a"), F.sum("tokens_b")).first()
     types, tokens = sums[0] or 0, [sums[1] or 0, sums[2] or 0]
     answers = replies.where("block is not null").select("kind", "part", "block", "a", "b")
     both = blocks.groupBy("block").cogroup(answers.groupBy("block"))
-    cells = both.applyInArrow(held_out_cells(tokens, parts), CELLS)
-    cells = cells.groupBy("bucket", "g2", "g1").agg(
-        (F.sum("f2") / F.sum("n")).alias("f2"), (F.sum("f1") / F.sum("n")).alias("f1"), F.sum("n").alias("n")
-    )
-    weights = learn_weights(materialize(cells, "held-out"), 1 / (types + 1))
-    scored = both.applyInArrow(score_blocks(types, tokens, parts, weights), SCORES)
+    cells = both.applyInArrow(held_out_cells(tokens, parts, bits), CELLS)
+    cells = cells.groupBy("bucket", "g3", "g2", "g1").agg(*[(F.sum(f) / F.sum("n")).alias(f) for f in ("f3", "f2", "f1")], F.sum("n").alias("n"))
+    cells = materialize(cells, "held-out")
+    weights = learn_weights(cells, 1 / (types + 1))
+    scored = both.applyInArrow(score_blocks(types, tokens, parts, bits, weights), SCORES)
     scored = materialize(scored, "scores")
-    for used in (blocks, replies):
+    for used in (blocks, replies, cells):
         discard(used)
     return scored.groupBy("row").agg(
         F.first("id").alias(id_col),
