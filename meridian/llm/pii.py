@@ -6,10 +6,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.common import let, materialize
+from meridian.llm.common import discard, let, materialize
 
 #: Kinds in their fixed order; the first four are the base kinds.
-KINDS = ["email", "ip", "card", "phone", "id", "name"]
+KINDS = ["email", "ip", "card", "phone", "id", "name", "secret"]
 
 #: Leftmost non-overlapping matches of the base patterns. Each pattern starts only where a run of its
 #: characters starts (or where the last match ended), so long runs are not scanned again from inside, and
@@ -25,6 +25,11 @@ IDENTITY = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 TITLES = "Mr Mrs Ms Dr Prof Herr Frau Monsieur Madame Señor Señora".split()
 NAME = r"(?<![\p{L}0-9])(?:" + "|".join(TITLES) + r")\.?\x20\p{Lu}\p{Ll}+(?:\x20\p{Lu}\p{Ll}+)?"
 
+#: Secrets: keys with a known beginning, and long runs of letters and digits.
+KEYS = r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}"
+RUN = "A-Za-z0-9_+/-"
+SECRET = rf"(?<![{RUN}])(?:(?:{KEYS})(?![{RUN}])|(?=[{RUN}]*[0-9])(?=[{RUN}]*[A-Za-z])[{RUN}]{{24,}}+={{0,2}})"
+
 #: Words that announce each kind (the gazetteer).
 CUES = {
     "email": "mail e-mail email contact address correo courriel",
@@ -33,40 +38,79 @@ CUES = {
     "phone": "phone tel telephone call mobile fax cell telefon téléphone teléfono",
     "id": "ssn social security passport id nif dni",
     "name": "name named dear signed by von par por",
+    "secret": "token secret key apikey password passwd pwd passphrase credential bearer auth passwort clave",
+}
+#: What registries know of a kind: forms that are assigned, and forms that never belong to someone (special
+#: address blocks, numbers of one digit, reserved top-level names and area codes).
+ASSIGNED = {
+    "card": r"^(?:4[0-9]{12}(?:[0-9]{3})?(?:[0-9]{3})?|(?:5[1-5]|2[2-7])[0-9]{14}|3[47][0-9]{13}|3(?:0[0-5]|[68][0-9])[0-9]{11}|6(?:011|5[0-9]{2})[0-9]{12})$",
+    "phone": r"^(?:1[2-9][0-9]{9}|[2-9][0-9]{8,14})$",
+    "email": r"\.(?:com|org|net|edu|gov|io|info|de|fr|es|uk|eu|it|nl|ch|at)$",
+    "secret": rf"^(?:{KEYS}|[0-9a-f]{{32}}|[0-9a-f]{{40}}|[0-9a-f]{{64}})$",
+}
+NEVER = {
+    "ip": r"^(?:0|127|22[4-9]|23[0-9]|24[0-9]|25[0-5])\.",
+    "card": r"^([0-9])\1*$",
+    "phone": r"^(?:0|[0-9]{3}0000000$|([0-9])\1*$)",
+    "id": r"^(?:000|666|9)|^[0-9]{3}00|0000$",
 }
 #: Characters before a span that cues and neighbours are looked for in.
 BEFORE = 24
-LABELERS = ["pattern", "gazetteer", "boundary", "numbers", "grouping"]
+FEATURES = 7
+LABELERS = ["pattern", "gazetteer", "registry", "boundary", "numbers", "grouping"]
 ROUNDS = 10
+#: Matches of a text whose places are summed together.
+CHUNK = 128
 #: Posterior from which the classifier adds a span.
 ACCEPT = 0.9
 
 
+def _prefix_sums(sizes: Column) -> Column:
+    """The sum of the items before each item of an array, in chunks of CHUNK: an array grows by copying, so one
+    fold over all items would take the square of their number."""
+
+    def fold(xs: Column, start: Column) -> Column:
+        state = F.struct(start.cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(xs, state, lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))["out"]
+
+    chunk = lambda i: F.slice(sizes, i * CHUNK + 1, CHUNK)
+    whole = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / CHUNK).cast("int")), chunk)
+
+    def chunked(parts: Column) -> Column:
+        heads = fold(F.transform(parts, lambda p: F.aggregate(p, F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))
+        return F.flatten(F.zip_with(parts, heads, fold))
+
+    return F.when(F.size(sizes) <= CHUNK, fold(sizes, F.lit(0))).otherwise(let(whole, chunked))
+
+
+MATCHES = "array<struct<s:bigint,e:bigint,m:string,lead:string,after:string>>"
+
+
 def find_all(text: Column, pattern: str) -> Column:
-    """All matches of ``pattern`` as structs (s: start, e: end in code points, m: the match).
+    """All matches of ``pattern`` as structs (s: start, e: end in code points, m: the match, lead: up to BEFORE
+    characters before it, from the match before it on, after: the next character).
 
-    The text between matches and the matches give the places: one fold over their lengths.
+    The matches and the text between them give all of it, so a text is not run through again for each match.
     """
 
     def located(ms: Column) -> Column:
-        start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<s:bigint,e:bigint,m:string>>").alias("out"))
-
         def placed(gaps: Column) -> Column:
-            pairs = F.zip_with(ms, F.slice(gaps, F.lit(1), F.size(ms)), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g")))
+            steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(ms)), ms, lambda g, m: (F.length(g) + F.length(m)).cast("long"))
 
-            def step(a: Column, p: Column) -> Column:
-                s = a["at"] + p["g"]
-                e = s + F.length(p["m"])
-                one = F.struct(s.cast("long").alias("s"), e.cast("long").alias("e"), p["m"].alias("m"))
-                return F.struct(e.cast("long").alias("at"), F.concat(a["out"], F.array(one)).alias("out"))
+            def one(before: Column, i: Column) -> Column:
+                gap, m, following = (F.get(x, k) for x, k in ((gaps, i), (ms, i), (gaps, i + 1)))
+                start = before + F.length(gap)
+                lead = F.right(F.concat(F.coalesce(F.get(ms, i - 1), F.lit("")), gap), F.lit(BEFORE))
+                after = F.left(F.concat(F.left(following, F.lit(1)), F.coalesce(F.left(F.get(ms, i + 1), F.lit(1)), F.lit(""))), F.lit(1))
+                return F.struct(start.alias("s"), (start + F.length(m)).alias("e"), m.alias("m"), lead.alias("lead"), after.alias("after"))
 
-            return F.aggregate(pairs, start, step)["out"]
+            return let(_prefix_sums(steps), lambda sums: F.transform(sums, one))
 
-        return let(F.split(text, pattern, -1), placed)
+        return let(F.split(text, pattern, -1), placed).cast(MATCHES)
 
-    none = F.array().cast("array<struct<s:bigint,e:bigint,m:string>>")
     return let(
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda ms: F.when(F.size(ms) > 0, located(ms)).otherwise(none)
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+        lambda ms: F.when(F.size(ms) > 0, located(ms)).otherwise(F.array().cast(MATCHES)),
     )
 
 
@@ -97,9 +141,9 @@ def _spans(text: Column) -> Column:
     def some(kind: str, pattern: str, base, when: Column | None = None) -> Column:
         found = F.transform(
             find_all(text, pattern),
-            lambda x: F.struct(F.lit(KINDS.index(kind)).alias("k"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), base(x["m"]).alias("base")),
+            lambda x: F.struct(F.lit(KINDS.index(kind)).alias("k"), *[x[c].alias(c) for c in ("s", "e", "m", "lead", "after")], base(x["m"]).alias("base")),
         )
-        none = F.array().cast("array<struct<k:int,s:bigint,e:bigint,m:string,base:boolean>>")
+        none = F.array().cast(MATCHES.replace("<s:", "<k:int,s:").replace("after:string", "after:string,base:boolean"))
         return found if when is None else F.when(when, found).otherwise(none)
 
     numbers = text.rlike("[0-9]{2}")
@@ -112,15 +156,15 @@ def _spans(text: Column) -> Column:
         some("phone", LOCAL_PHONE, lambda m: F.lit(False), numbers),
         some("id", IDENTITY, lambda m: F.lit(False), text.rlike("[0-9]-[0-9]")),
         some("name", NAME, lambda m: F.lit(False), text.rlike("|".join(TITLES))),
+        some("secret", SECRET, lambda m: F.lit(False), text.rlike(f"[{RUN}]{{20}}")),
     )
 
 
-def _judged(text: Column, spans: Column) -> Column:
+def _judged(spans: Column) -> Column:
     """Each span with the votes of the labelers (1 for, -1 against, 0 none) and the classifier's features."""
 
     def one(x: Column) -> Column:
-        lead = F.lower(F.substring(text, F.greatest(x["s"] - BEFORE, F.lit(0)).cast("int") + 1, F.least(x["s"], F.lit(BEFORE)).cast("int")))
-        after = F.substring(text, x["e"].cast("int") + 1, F.lit(1))
+        after = x["after"]
 
         def votes(lead: Column) -> Column:
             cue = F.lit(False)
@@ -128,41 +172,53 @@ def _judged(text: Column, spans: Column) -> Column:
                 said = r"(?:^|[^\p{L}])(?:" + "|".join(CUES[kind].split()) + r")[^\p{L}]{1,4}(?:\p{L}{1,3}[^\p{L}]{1,3})?$"
                 cue = cue | ((x["k"] == k) & lead.rlike(said))
             separators = F.size(F.array_distinct(F.filter(F.split(F.regexp_replace(x["m"], r"[0-9\p{L}@%_+]", ""), ""), lambda c: c != "")))
+            form = F.when(x["k"].isin(2, 3), digits(x["m"])).otherwise(x["m"])
+            known, never = F.lit(False), F.lit(False)
+            for table, kinds in ((ASSIGNED, "known"), (NEVER, "never")):
+                said = F.lit(False)
+                for kind, pattern in table.items():
+                    said = said | ((x["k"] == KINDS.index(kind)) & form.rlike(pattern))
+                known, never = (said, never) if kinds == "known" else (known, said)
+            secret = x["k"] == KINDS.index("secret")
             vote = {
                 "pattern": F.when(x["base"], 1).when(x["k"].isin(0, 1, 2), -1).otherwise(0),
                 "gazetteer": F.when(cue | (x["k"] == KINDS.index("name")), 1).otherwise(0),
-                "boundary": F.when(lead.rlike(r"[\p{L}0-9_/=#]$") | after.rlike(r"^[\p{L}0-9_/=#]"), -1).otherwise(1),
+                "registry": F.when(never, -1).when(known, 1).otherwise(0),
+                "boundary": F.when(secret, 0).when(lead.rlike(r"[\p{L}0-9_/=#]$") | after.rlike(r"^[\p{L}0-9_/=#]"), -1).otherwise(1),
                 "numbers": F.when(lead.rlike(r"[0-9][^\p{L}]{0,3}$"), -1).otherwise(0),
-                "grouping": F.when(x["k"].isin(0, 1, 5), 0).when(separators <= 2, 1).otherwise(-1),
+                "grouping": F.when(x["k"].isin(0, 1, 5, 6), 0).when(separators <= 2, 1).otherwise(-1),
             }
             size = F.least(F.length(x["m"]) / 4, F.lit(6)).cast("int")
             near = F.when(lead == "", 0).when(lead.rlike(r"[\x20\n]$"), 1).when(lead.rlike(r"\p{L}$"), 2).when(lead.rlike("[0-9]$"), 3).otherwise(4)
             features = F.concat_ws(
-                "|", x["k"].cast("string"), x["base"].cast("string"), cue.cast("string"), size.cast("string"), near.cast("string"), separators.cast("string")
+                "|", x["k"].cast("string"), x["base"].cast("string"), cue.cast("string"), size.cast("string"), near.cast("string"), F.least(separators, F.lit(3)).cast("string"),
+                F.when(never, "never").when(known, "known").otherwise(""),
             )
             return F.struct(
                 x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"), x["base"].alias("base"),
                 F.concat_ws(",", *[vote[v].cast("string") for v in LABELERS]).alias("votes"), features.alias("features"),
             )
 
-        return let(lead, votes)
+        return let(F.lower(x["lead"]), votes)
 
     return F.transform(spans, one)
 
 
 def learn_labelers(patterns: DataFrame, rounds: int = ROUNDS) -> tuple[float, list[dict[int, tuple[float, float]]]]:
-    """EM over the vote patterns ``(votes, n)``, at most 3^5 rows: the share of true spans, and for each labeler
+    """EM over the vote patterns ``(votes, n)``, at most 3^6 rows: the share of true spans, and for each labeler
     and vote its probability given a true and given a false span."""
     prior, given = 0.5, [{1: (0.7, 0.2), 0: (0.2, 0.3), -1: (0.1, 0.5)} for _ in LABELERS]
     vote = F.split("votes", ",")
+    sums = [F.sum("yes").alias("yes"), F.sum("n").alias("all")]
+    for i in range(len(LABELERS)):
+        for v in (-1, 0, 1):
+            hit = F.col("vote")[i] == str(v)
+            sums += [F.sum(F.when(hit, F.col(c)).otherwise(F.lit(0.0))).alias(f"{k}{i}{v}") for k, c in (("t", "yes"), ("f", "no"))]
     for _ in range(rounds):
-        p = posterior(vote, prior, given)
-        sums = [F.sum(F.col("n") * p).alias("yes"), F.sum("n").alias("all")]
-        for i in range(len(LABELERS)):
-            for v in (-1, 0, 1):
-                hit = F.when(vote[i] == str(v), F.col("n")).otherwise(F.lit(0))
-                sums += [F.sum(hit * p).alias(f"t{i}{v}"), F.sum(hit * (1 - p)).alias(f"f{i}{v}")]
-        got = patterns.agg(*sums).first()
+        p = posterior(F.col("vote"), prior, given)
+        weighed = patterns.withColumn("vote", vote).withColumn("p", p)
+        weighed = weighed.select("n", "vote", (F.col("n") * F.col("p")).alias("yes"), (F.col("n") * (1 - F.col("p"))).alias("no"))
+        got = weighed.agg(*sums).first()
         if not got["all"]:
             break
         yes, no = got["yes"], got["all"] - got["yes"]
@@ -189,7 +245,7 @@ def train_classifier(found: DataFrame, prior: float, given: list[dict[int, tuple
     rows = found.withColumn("p", p).select("n", "p", parts).groupBy("i", "value").agg(
         F.sum(F.col("n") * F.col("p")).alias("yes"), F.sum(F.col("n") * (1 - F.col("p"))).alias("no")
     )
-    table: list[dict[str, tuple[float, float]]] = [{} for _ in range(6)]
+    table: list[dict[str, tuple[float, float]]] = [{} for _ in range(FEATURES)]
     for r in rows.collect():  # values of six small features: some tens of rows
         table[r.i][r.value] = (r.yes, r.no)
     return table
@@ -217,23 +273,26 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ac
 
     The texts are read once; candidates with their votes and features are written next to the id, the
     models are learned from counts of vote and feature patterns (bounded by the number of
-    patterns), and the verdicts are a projection. Null and empty texts have no spans; null ids and repeated
-    rows pass through; an empty table gives an empty table.
+    patterns), and the verdicts are a projection. A match that the base rules refuse is not added. Null and empty
+    texts have no spans; null ids and repeated rows pass through; other columns are not read; an empty table gives
+    an empty table.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     found = materialize(
-        narrow.select("id", let(_spans(text), lambda s: F.when(F.size(s) > 0, _judged(text, s))).alias("found")), "spans"
+        narrow.select("id", let(_spans(text), lambda s: F.when(F.size(s) > 0, _judged(s))).alias("found")), "spans"
     )
     seen = found.select(F.explode("found").alias("x")).groupBy("x.votes", "x.features").agg(F.count("*").alias("n"))
     seen = materialize(seen, "patterns")
     patterns = seen.groupBy("votes").agg(F.sum("n").alias("n"))
     prior, given = learn_labelers(patterns)
     table = train_classifier(seen, prior, given)
+    discard(seen)
     plain = lambda xs: F.array_sort(F.transform(xs, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"))))
     base = F.filter("found", lambda x: x["base"])
     covered = lambda x: F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-    added = F.filter("found", lambda x: ~x["base"] & (classify(F.split(x["features"], r"\|"), table) >= accept) & ~covered(x))
+    refused = lambda x: x["k"].isin(KINDS.index("ip"), KINDS.index("card"))
+    added = F.filter("found", lambda x: ~x["base"] & ~refused(x) & (classify(F.split(x["features"], r"\|"), table) >= accept) & ~covered(x))
     none = F.array().cast("array<struct<s:bigint,k:int,e:bigint>>")
     return found.select(
         F.col("id").alias(id_col),
@@ -256,4 +315,5 @@ def op7_pii(spark, sf_dir: str) -> DataFrame:
         *[count(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS[:4])],
         F.sha2(spelled(F.col("base")), 256).alias("base_sha256"),
         spelled(F.col("spans")).alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"),
     )
