@@ -272,5 +272,126 @@ def near_duplicates(
     )
 
 
+# -- links by similarity -----------------------------------------------------------------------
+
+#: Parts of a document whose fingerprints are compared, and the growth from one size class to the next.
+PARTS = 24
+GROWTH = 1.25
+
+
+def shingle_set(text: bytes | None, shingle: int, seed: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, sorted (see ``fingerprint``)."""
+    words = (text or b"").lower().split()
+    if 0 < len(words) < shingle:
+        words, shingle = [b" ".join(words)], 1
+    found = [np.zeros(0, np.uint64)]
+    n = len(words) - shingle + 1
+    for at in range(0, n, CHUNK):
+        part = words[at : min(at + CHUNK, n) + shingle - 1]
+        grams = map(b" ".join, zip(*(part[k:] for k in range(shingle)), strict=False))
+        found.append(np.unique(np.fromiter((xxhash.xxh64_intdigest(g, seed) for g in grams), dtype=np.uint64)))
+    return found[-1] if len(found) == 2 else np.unique(np.concatenate(found))
+
+
+def _spread(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    return x ^ (x >> np.uint64(29))
+
+
+def part_fingerprints(shingles: np.ndarray, similarity: float) -> np.ndarray:
+    """Fingerprints of the parts that a set of shingles is dealt into by hash, for its own size class and the next.
+
+    Two sets of Jaccard similarity s or more differ in at most (1-s)/(1+s) of their summed sizes. With
+    one part more than that, one part at least is the same in both; so with up to PARTS parts no
+    pair is missed. Larger sets give PARTS of their parts, each of which is the same with a
+    chance of over 1/e: a pair right at s is missed with one of 1.5e-5. Sets of the similarity are in
+    one class or in neighbours, so every set is dealt for its class and for the one above.
+    """
+    n = len(shingles)
+    if not n:
+        return np.zeros(0, np.uint64)
+    out, mixed = [], _spread(shingles)
+    size_class = int(np.log(n) / np.log(GROWTH))
+    for level in (size_class, size_class + 1):
+        parts = int(2 * (1 - similarity) / (1 + similarity) * GROWTH ** (level + 1)) + 1
+        part = (mixed >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+        order = np.argsort(part, kind="stable")
+        order = order[: np.searchsorted(part[order], PARTS)]
+        first = np.flatnonzero(np.concatenate([[True], part[order][1:] != part[order][:-1]])) if len(order) else np.zeros(0, int)
+        if len(first):
+            sums = np.add.reduceat(_spread(mixed[order] + np.uint64(1)), first)
+            out.append(_spread(_spread(sums + part[order][first]) + np.uint64(level)))
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def similar_links(docs: DataFrame, id_col: str, text_col: str, shingle: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
+    """Links (a, b) of documents whose sets of shingles have a Jaccard similarity of ``similarity`` or more.
+
+    The fingerprints of parts of the documents are joined: a fingerprint that many share links
+    each of them to the least of them only, so a large group is not paired off; its members share
+    several, with different least ones. Every candidate is then decided on the two whole sets.
+    ``similarity`` is at least 1/GROWTH. ids are longs without nulls that name one text each.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+
+    def over_texts(body, schema: str):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 64):
+                    part = batch.slice(at, 64)
+                    sets = [shingle_set(t, shingle, seed) for t in part.column(1).cast(pa.binary()).to_pylist()]
+                    yield body(part.column(0), sets)
+
+        return lambda df: df.mapInArrow(run, schema)
+
+    def keys(ids, sets):
+        found = [part_fingerprints(x, similarity).view(np.int64) for x in sets]
+        which = np.repeat(np.arange(len(found)), [len(x) for x in found])
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(which)), pa.array(np.concatenate(found))], names=["id", "key"])
+
+    def whole(ids, sets):
+        return pa.RecordBatch.from_arrays([ids, pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "shingles"])
+
+    parts = materialize(over_texts(keys, "id long, key long")(rows), "parts")
+    least = parts.groupBy("key").agg(F.min("id").alias("other"), F.max("id").alias("last")).where("other < last").select("key", "other")
+    pairs = materialize(parts.join(least, "key").where("id > other").select("id", "other").distinct(), "candidates")
+    wanted = pairs.select("id").unionByName(pairs.select(F.col("other").alias("id"))).distinct()
+    sets = materialize(over_texts(whole, "id long, shingles binary")(rows.join(wanted, "id", "left_semi").select("id", "text")), "shingles")
+    both = pairs.join(sets, "id").join(sets.select(F.col("id").alias("other"), F.col("shingles").alias("others")), "other")
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column("shingles").to_pylist(), batch.column("others").to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                shared = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= similarity * max(len(x), len(y)) else 0
+                ok.append(shared >= similarity * (len(x) + len(y) - shared))
+            yield batch.select(["id", "other"]).filter(pa.array(ok, pa.bool_())).rename_columns(["a", "b"])
+
+    links = materialize(both.select("id", "other", "shingles", "others").mapInArrow(decide, "a long, b long"), "links")
+    for used in (parts, pairs, sets):
+        discard(used)
+    return links
+
+
+def similar_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, budget: int = 3, similarity: float = 0.8, seed: int = 42
+) -> DataFrame:
+    """Groups of near-duplicates by similarity: rows (id, component_id), the smallest id reachable over links.
+
+    Documents are linked if their SimHash fingerprints differ in at most ``budget`` bits (the trie join),
+    or if the Jaccard similarity of their shingles is ``similarity`` or more (``similar_links``): of 64
+    bits, texts right at 0.8 differ in about ten, a distance at which bits prune nothing. ids must not be
+    null; rows with equal ids are one document and must have equal texts. Null and empty texts have
+    fingerprint zero and link with each other; an empty table gives an empty table.
+    """
+    groups = materialize(near_duplicates(docs, id_col, text_col, shingle, budget, seed).select(F.col(id_col).alias("a"), F.col("component_id").alias("b")), "groups")
+    links = similar_links(docs, id_col, text_col, shingle, similarity, seed)
+    parts = connected_components(groups.unionByName(links))
+    discard(links)
+    ids = groups.select(F.col("a").alias("node")).distinct()
+    return ids.join(parts, "node", "left").select(F.col("node").alias(id_col), F.coalesce("component", "node").alias("component_id"))
+
+
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

@@ -25,13 +25,21 @@ def components(nodes, links):
     return {n: find(n) for n in nodes}
 
 
-def slow_fingerprint(text):
+def slow_shingles(text, k=3):
     w = [x.lower() for x in (text or "").encode().split()]
-    grams = [b" ".join(w)] if 0 < len(w) < 3 else [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)]
-    hs = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+    return [b" ".join(w)] if 0 < len(w) < k else [b" ".join(w[i : i + k]) for i in range(len(w) - k + 1)]
+
+
+def slow_fingerprint(text, k=3):
+    hs = [xxhash.xxh64_intdigest(g, 42) for g in slow_shingles(text, k)]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs)) if hs else 0
 
 
+def jaccard(a, b):
+    a, b = set(a), set(b)
+    return len(a & b) / max(1, len(a | b))
+
+
 def test_components_of_chains_stars_and_loops(spark):
     links = [(i, i + 1) for i in range(1, 60)] + [(100, x) for x in range(101, 130)] + [(7, 7), (500, 499)]
     want = components({x for e in links for x in e}, links)
@@ -113,6 +121,29 @@ def test_embeddings_are_dealt_to_cells(spark):
     assert counted[0] > 1
 
 
+def test_similar_documents_equal_all_pairs(spark):
+    rng = np.random.default_rng(11)
+    word = lambda: f"w{rng.integers(0, 4000)}"
+    texts = ["", "one", "one two", "ONE two", None]
+    for n in (20, 30, 60, 150, 400, 900):
+        for _ in range(4):
+            base = [word() for _ in range(n)]
+            for edits in (0, 1, 1, 2, 3, n // 40, n // 30, n // 20, n // 12):
+                t = list(base)
+                for at in rng.choice(n, edits, replace=False):
+                    t[at] = word()
+                texts.append(" ".join(t))
+            texts.append(" ".join(base[: n * 9 // 10]))
+    hot = [word() for _ in range(50)]
+    texts += [" ".join([*hot[:25], word(), *hot[26:]]) for _ in range(120)]
+    rows = list(enumerate(texts))
+    sets, fp = {i: slow_shingles(t, 5) for i, t in rows}, {i: slow_fingerprint(t, 5) for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and (jaccard(sets[a], sets[b]) >= 0.8 or bin(fp[a] ^ fp[b]).count("1") <= 3)]
+    got = {r.doc_id: r.component_id for r in S.similar_documents(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == components(range(len(texts)), links)
+    assert S.similar_documents(spark.createDataFrame([], DOCS)).count() == 0
+
+
 def brute_links(vecs, threshold=0.95):
     ok = {i: np.array(v, float) for i, v in vecs if v is not None and None not in v and np.isfinite(v).all() and any(v)}
     return [

@@ -1,7 +1,7 @@
 """The pipeline against a plain Python version of its stages."""
 
 import corpus_pipeline as C
-from test_dedup import components, slow_fingerprint
+from test_dedup import components, jaccard, slow_fingerprint, slow_shingles
 from test_filters import slow_dedup, slow_mix, split
 
 from meridian.llm import mixing as M
@@ -19,8 +19,9 @@ def slow_pipeline(spark, rows):
     for r, (text, _, rep, near) in zip(rows, slow_dedup([(r[0], r[1]) for r in rows])):
         if not (rep + near and not split(text)):
             cleaned.append((r[0], text, r[3]))
-    fp = {i: slow_fingerprint(t) for i, t, _ in cleaned}
-    links = [(a, b) for a in fp for b in fp if a < b and bin(fp[a] ^ fp[b]).count("1") <= 3]
+    fp = {i: slow_fingerprint(t, 5) for i, t, _ in cleaned}
+    sets = {i: slow_shingles(t, 5) for i, t, _ in cleaned}
+    links = [(a, b) for a in fp for b in fp if a < b and (bin(fp[a] ^ fp[b]).count("1") <= 3 or jaccard(sets[a], sets[b]) >= 0.8)]
     first = components(fp, links)
     mixed, _ = slow_mix([(i, t, s) for i, t, s in cleaned if first[i] == i], M.LEAST_SHARDS, 0)
     return sorted((i, p[1]) for i, _, _, pieces in mixed for p in pieces)
@@ -71,3 +72,11 @@ def test_mix_keeps_texts_of_equal_length_without_id_apart(spark):
     got = [r.text for r in C.mix_sources(spark, spark.createDataFrame(rows, SCHEMA), SF).collect()]
     assert {r[1] for r in rows} <= set(got)
     assert sum(len(split(t)) for t in got) == 27 and all(got.count(r[1]) <= 2 for r in rows)
+
+
+def test_dedup_keeps_texts_of_one_id_apart(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    near = " ".join(f"a{i}" if i != 30 else "zz" for i in range(60))
+    rows = [(5, a, "en", "s", 1), (5, b, "en", "s", 1), (None, c, "en", "s", 1), (None, near, "en", "s", 1), (None, c, "de", "s", 1), (7, c, "en", "s", 1), (9, b, "en", "s", 1), (9, b, "en", "s", 1)]
+    got = sorted((r.doc_id, r.text) for r in C.dedup_documents(spark, spark.createDataFrame(rows, SCHEMA), SF).collect())
+    assert got == sorted([(5, a), (5, b), (7, c)])
