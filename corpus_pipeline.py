@@ -32,17 +32,22 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _with_length(cleaned.where(~F.coalesce(emptied, F.lit(False))))
 
 
+def _row_hash(docs: DataFrame):
+    return F.xxhash64(*[f(c) for c in COLUMNS for f in (F.isnull, F.col)])
+
+
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates.
+    """One document of each group of near-duplicates: SimHash fingerprints within 3 bits or a Jaccard similarity of
+    0.8 or more, both on five words. It is the one with the smallest id; those without id come last.
 
-    Rows with equal ids count as one document. A document without id goes by a large number
-    made from its text, so it stays only if no document with an id is near it.
+    A row goes by a hash of all of it, so different rows of one id, or without id, are documents
+    apart, and rows equal in every column are one document.
     """
-    unnamed = F.lit(1 << 62) + F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit((1 << 62) - 1))
-    named = docs.select(COLUMNS).withColumn("_id", F.coalesce("doc_id", unnamed))
-    groups = simhash.near_duplicates(named, "_id")
-    first = groups.where("_id = component_id").select("_id").distinct()
-    return named.join(first, "_id", "left_semi").dropDuplicates(["_id"]).select(COLUMNS)
+    named = docs.select(COLUMNS).withColumn("_node", _row_hash(docs))
+    groups = simhash.similar_documents(named, "_node")
+    place = F.struct(F.isnull("doc_id"), "doc_id", "_node")
+    first = named.select("_node", "doc_id").join(groups, "_node").groupBy("component_id").agg(F.min(place).alias("p")).select("p._node")
+    return named.join(first, "_node", "left_semi").dropDuplicates(["_node"]).select(COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +56,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A text comes back by the hash of its whole row, so only rows equal in every column share one.
     """
-    known = docs.select(COLUMNS).withColumn("_hash", F.xxhash64(*[f(c) for c in COLUMNS for f in (F.isnull, F.col)]))
+    known = docs.select(COLUMNS).withColumn("_hash", _row_hash(docs))
     mixed = mixing.mix(known, carry=["_hash"]).select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_row"), F.explode("pieces").alias("_piece"))
     texts = known.withColumn("_size", n_words(F.col("text"))).where("_size > 0").dropDuplicates(["doc_id", "_hash"])
     taken = texts.join(mixed, texts["doc_id"].eqNullSafe(mixed["_id"]) & (texts["_hash"] == mixed["_row"]))
