@@ -57,10 +57,10 @@ def _prefix_sums(words: list[bytes]) -> np.ndarray:
     return np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _powers(len(h))[0], dtype=np.uint64)])
 
 
-def line_table(docs: DataFrame, min_words: int, near_words: int, short_bytes: bool) -> DataFrame:
+def line_table(docs: DataFrame, min_words: int, near_words: int) -> DataFrame:
     """Lines with at least ``min_words`` words of ``docs(id, row, text)``: id, row, line, a 128-bit hash (h1, h2), and for
     lines with ``near_words`` words or more the hashes of their halves (k1 to k4). The hash of a
-    shorter line is that of its words, or of its bytes for ``short_bytes``.
+    shorter line is that of its words.
 
     If one edit makes two lines equal then they agree in their first or in their last h words, h
     being half the words of the shorter. A line is the shorter or one word longer, hence up
@@ -79,7 +79,7 @@ def line_table(docs: DataFrame, min_words: int, near_words: int, short_bytes: bo
                             ids.append(doc)
                             rows.append(row)
                             lines.append(k)
-                            hashes.append(xxhash.xxh3_128_digest(line if short_bytes or len(ws) >= near_words else b" ".join(ws)))
+                            hashes.append(xxhash.xxh3_128_digest(line if len(ws) >= near_words else b" ".join(ws)))
                             counts.append(len(ws))
                             words += ws
                 n = np.array(counts, dtype=np.int64)
@@ -220,7 +220,6 @@ def dedup_lines(
     text_col: str = "text",
     min_words: int = MIN_WORDS,
     near_words: int = NEAR_WORDS,
-    short_bytes: bool = False,
 ) -> DataFrame:
     """``docs`` with repeated and near-repeated lines taken out of the text, and the columns
     n_lines, n_repeated and n_near (lines of the text, and those dropped as equal to, or within one
@@ -228,9 +227,9 @@ def dedup_lines(
 
     Lines are what ``\\n`` separates; words are split at ASCII white space. A line with at least
     ``min_words`` words goes if an equal line stands earlier, in the order of (id, row, line number);
-    with fewer than ``near_words`` words its words count, not its spaces (its bytes for
-    ``short_bytes``); with ``near_words`` or more it also goes if an earlier line of so many words,
-    dropped or not, is within one insertion, deletion or substitution of a word. Other lines stay. Null texts stay null (no lines) and empty ones empty. Rows
+    with fewer than ``near_words`` words its words count, not its spaces; with ``near_words`` or more it
+    also goes if an earlier line of so many words, dropped or not, is within one insertion, deletion or
+    substitution of a word. Other lines stay. Null texts stay null (no lines) and empty ones empty. Rows
     with equal ids and texts count as one document and lose the same lines; equal ids with different
     texts are documents apart, in the order of a hash of the text. Rows with null ids come last, each
     a document of its own. Columns of ``docs`` named like the added ones are replaced, others pass through; an empty
@@ -238,7 +237,7 @@ def dedup_lines(
     """
     docs = _with_place(docs, id_col, text_col)
     narrow = docs.select(F.col("__meridian_id").alias("id"), F.col("__meridian_row").alias("row"), F.col(text_col).cast("string").alias("text"))
-    lines = materialize(line_table(narrow, min_words, near_words, short_bytes), "lines")
+    lines = materialize(line_table(narrow, min_words, near_words), "lines")
     distinct = materialize(
         lines.groupBy("h1", "h2").agg(
             F.min(F.struct("id", "row", "line")).alias("first"), *[F.first(k).alias(k) for k in ("k1", "k2", "k3", "k4")]
@@ -285,21 +284,19 @@ def dedup_lines(
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
-    """With the bounds of OP6_SQL: lines of 1 to 4 words stay, those of 5 to 7 match by their bytes."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return dedup_lines(docs, min_words=5, near_words=8, short_bytes=True)
+    return dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
 OP6_SQL = r"""
 WITH l AS (
   SELECT doc_id, i - 1 AS line, ls[i] AS line_text, regexp_extract_all(ls[i], '[^\x20\x09-\x0D]+') AS w
   FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL), unnest(range(1, len(ls) + 1)) AS r(i)),
-b AS (SELECT * FROM l WHERE len(w) >= 5),
+b AS (SELECT *, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE line_text END AS form FROM l WHERE len(w) >= 1),
 f AS (SELECT *, row_number() OVER (ORDER BY doc_id, line) AS pos_no FROM (
-  SELECT *, row_number() OVER (PARTITION BY line_text ORDER BY doc_id, line) AS k FROM b) WHERE k = 1),
+  SELECT *, row_number() OVER (PARTITION BY form ORDER BY doc_id, line) AS k FROM b) WHERE k = 1),
 v AS (
-  SELECT pos_no, len(w) AS n, p, array_to_string(w[:p - 1] || w[p + 1:], ' ') AS key FROM f, unnest(range(1, len(w) + 1)) AS r(p) WHERE len(w) >= 8
-  UNION ALL SELECT pos_no, len(w), 0, array_to_string(w, ' ') FROM f WHERE len(w) >= 8),
+  SELECT pos_no, len(w) AS n, p, array_to_string(w[:p - 1] || w[p + 1:], ' ') AS key FROM f, unnest(range(1, len(w) + 1)) AS r(p) WHERE len(w) >= 5
+  UNION ALL SELECT pos_no, len(w), 0, array_to_string(w, ' ') FROM f WHERE len(w) >= 5),
 s AS (
   SELECT pos_no, min(pos_no) FILTER (p > 0) OVER (PARTITION BY key, p) AS same_place, p,
          min(pos_no) FILTER (p = 0) OVER (PARTITION BY key) AS whole, min(pos_no) FILTER (p > 0) OVER (PARTITION BY key) AS part FROM v),
@@ -308,7 +305,7 @@ nr AS (
   WHERE (p > 0 AND (same_place < pos_no OR whole < pos_no)) OR (p = 0 AND (part < pos_no OR whole < pos_no))),
 d AS (
   SELECT b.doc_id, b.line, CASE WHEN f.doc_id <> b.doc_id OR f.line <> b.line THEN 'r' ELSE 'n' END AS why
-  FROM b JOIN f ON b.line_text = f.line_text LEFT JOIN nr ON f.pos_no = nr.pos_no
+  FROM b JOIN f ON b.form = f.form LEFT JOIN nr ON f.pos_no = nr.pos_no
   WHERE f.doc_id <> b.doc_id OR f.line <> b.line OR nr.pos_no IS NOT NULL),
 k AS (
   SELECT l.doc_id, count(*) AS n_lines, count(*) FILTER (why = 'r') AS n_repeated, count(*) FILTER (why = 'n') AS n_near,
