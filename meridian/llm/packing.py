@@ -11,30 +11,45 @@ from pyspark.sql import functions as F
 
 from meridian.llm.common import materialize, n_words
 
-#: Permitted sequence lengths, and what one sequence costs beyond its length.
+#: Permitted sequence lengths; a sequence of c words costs OVERHEAD + c + c * c / ATTENTION.
 CAPACITIES = (256, 512, 1024, 2048)
 OVERHEAD = 16
+ATTENTION = 16_384
 #: Documents that are packed together; pools are independent tasks.
 POOL_ROWS = 20_000
 
 
-def pack_pool(lengths: np.ndarray, capacities: Sequence[int], overhead: int) -> tuple[list[int], list[int], list[int]]:
+def pack_pool(lengths: np.ndarray, capacities: Sequence[int], overhead: int, attention: int) -> tuple[list[int], list[int], list[int]]:
     """Pack items, all at most the largest capacity: (bin of each item, start in the bin, capacity of each bin).
 
     Longest first. An item goes to the open bin with the least room that holds it. Without
-    one, a bin is opened in the size with the least cost for each word it can hope to hold: a size
-    beyond what is left to pack counts only what is left. At the end every bin shrinks to the
-    least capacity that holds its contents. Open bins are kept by room, and a bit set of the
-    rooms in use gives the best fit in one step.
+    one, a bin is opened in the size with the least cost for each word that can fill it: how full
+    a size gets is found by filling its room, longest first, with what is left to pack.
+    At the end every bin shrinks to the least capacity that holds its contents. Open bins are kept by
+    room, and a bit set of the rooms in use gives the best fit in one step.
     """
     caps = sorted(capacities)
     bins_by_room: list[list[int]] = [[] for _ in range(caps[-1] + 1)]
     used_rooms = 0
     where, start = [0] * len(lengths), [0] * len(lengths)
     fill: list[int] = []
-    left = int(lengths.sum())
+    left = np.bincount(lengths, minlength=caps[-1] + 1).tolist()
+    lengths_left = sum(1 << size for size, n in enumerate(left) if n)
+
+    def filled(room: int) -> int:
+        """Words that the items left can put into a room."""
+        free, open_ = room, lengths_left
+        while free and (open_ := open_ & ((1 << (free + 1)) - 1)):
+            size = open_.bit_length() - 1
+            free -= size * min(left[size], free // size)
+            open_ ^= 1 << size
+        return room - free
+
     for i in np.argsort(-lengths, kind="stable").tolist():
         size = int(lengths[i])
+        left[size] -= 1
+        if not left[size]:
+            lengths_left ^= 1 << size
         fits = used_rooms >> size
         if fits:
             room = size + (fits & -fits).bit_length() - 1
@@ -43,12 +58,11 @@ def pack_pool(lengths: np.ndarray, capacities: Sequence[int], overhead: int) ->
             if not stack:
                 used_rooms ^= 1 << room
         else:
-            room = min((c for c in caps if c >= size), key=lambda c: ((c + overhead) / min(c, left), c))
+            room = min((c for c in caps if c >= size), key=lambda c: ((overhead + c + c * c / attention) / (size + filled(c - size)), c))
             b = len(fill)
             fill.append(0)
         where[i], start[i] = b, fill[b]
         fill[b] += size
-        left -= size
         room -= size
         if not bins_by_room[room]:
             used_rooms |= 1 << room
@@ -62,6 +76,7 @@ def pack(
     text_col: str = "text",
     capacities: Sequence[int] = CAPACITIES,
     overhead: int = OVERHEAD,
+    attention: int = ATTENTION,
     pool_rows: int = POOL_ROWS,
     size_col: str | None = None,
 ) -> DataFrame:
@@ -70,17 +85,18 @@ def pack(
     Lengths are words of the text, or ``size_col``. A document longer than the largest capacity
     is cut into pieces of that capacity and a rest; nothing is dropped. bin names a
     sequence over all pools (pool and number), start is the piece's place in it. Pools are
-    dealt by a hash of id and length and hold about ``pool_rows`` documents whatever the input; each wastes
-    at most its last bins. Full pieces of a long document never meet in one list: they are
+    dealt by a hash of the number of the row in a written table and hold about ``pool_rows`` documents whatever the
+    input, its ids and repeats; each wastes at most its last bins. Full pieces of a long document never meet in one list: they are
     made where they are written, batch by batch. Null texts and texts without words have one
     empty piece without a bin (null bin, capacity and start); null ids and repeated rows are
-    packed like others; an empty table gives an empty table.
+    packed like others; other columns are not read; an empty table gives an empty table.
     """
     size = F.col(size_col).cast("long") if size_col else n_words(F.col(text_col))
-    rows = materialize(docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(size, F.lit(0)).alias("size")), "lengths")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(size, F.lit(0)).alias("size"), F.monotonically_increasing_id().alias("row"))
+    rows = materialize(rows, "lengths")
     pools = max(1, -(-rows.count() // pool_rows))
     most = max(capacities)
-    salt = F.pmod(F.xxhash64("id", "size"), F.lit(pools)).cast("int")
+    salt = F.pmod(F.xxhash64("row"), F.lit(pools)).cast("int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def table(pool, i, piece, first, words, b, cap, start):
@@ -99,7 +115,7 @@ def pack(
         full, rest = sizes // most, sizes % most
         ids_np = ids.to_pandas().astype("Int64").array  # null ids stay null
         k = np.flatnonzero(rest)
-        where, start, caps = pack_pool(rest[k], capacities, overhead)
+        where, start, caps = pack_pool(rest[k], capacities, overhead, attention)
         w, cap_of = np.array(where, dtype=np.int64), np.array(caps, dtype=np.int64)
         yield table(pool, ids_np[k], full[k], full[k] * most, rest[k], w, cap_of[w] if len(w) else w, np.array(start, dtype=np.int64))
         none = np.flatnonzero(sizes == 0)

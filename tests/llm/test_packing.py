@@ -1,5 +1,7 @@
 """Packing and token output: nothing lost, nothing doubled, and as tight as the method says."""
 
+import random
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -14,21 +16,28 @@ DOCS = "doc_id long, text string"
 @given(st.lists(st.integers(1, 64), max_size=80))
 @settings(max_examples=80, deadline=None)
 def test_pool_is_best_fit(sizes):
-    caps, overhead = (16, 32, 64), 3
-    where, start, capacity = P.pack_pool(np.array(sizes, dtype=np.int64), caps, overhead)
-    room, fill, left, at = [], [], sum(sizes), {}
-    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
+    caps, overhead, attention = (16, 32, 64), 3, 400
+    where, start, capacity = P.pack_pool(np.array(sizes, dtype=np.int64), caps, overhead, attention)
+    room, fill = [], []
+    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
+    for at, i in enumerate(order):
+
+        def cost(c):
+            free = c - sizes[i]
+            for j in order[at + 1 :]:
+                free -= sizes[j] if sizes[j] <= free else 0
+            return ((overhead + c + c * c / attention) / (c - free), c)
+
         open_ = [b for b in range(len(room)) if room[b] >= sizes[i]]
         if open_:
             assert room[where[i]] == min(room[b] for b in open_)  # least room that holds it
         else:
             assert where[i] == len(room)
-            room.append(min((c for c in caps if c >= sizes[i]), key=lambda c: ((c + overhead) / min(c, left), c)))
+            room.append(min((c for c in caps if c >= sizes[i]), key=cost))
             fill.append(0)
         assert start[i] == fill[where[i]]
         room[where[i]] -= sizes[i]
         fill[where[i]] += sizes[i]
-        left -= sizes[i]
     assert capacity == [min(c for c in caps if c >= f) for f in fill]
 
 
@@ -49,6 +58,41 @@ def test_pack_covers_every_word(spark):
     assert P.pack(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_pools_do_not_follow_ids(spark):
+    """Rows of one id and length, or of no id, are dealt to many pools."""
+    rows = [(None, "a b c", 1, "x") for _ in range(200)] + [(4, "a b c d", 1, "x") for _ in range(200)] + [(5, "w " * 1_000_000, 1, "x")]
+    out = P.pack(spark.createDataFrame(rows, DOCS + ", size int, bin string"), pool_rows=50).toPandas()
+    assert out.words.sum() == 200 * 7 + 1_000_000
+    pools = out[out.words < 5].groupby("words").bin.agg(lambda b: b.str.split("-").str[0].nunique())
+    assert (pools > 4).all()
+
+
+def test_several_lengths_are_opened(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = P.pack(docs).where("bin is not null").groupBy("capacity").agg({"bin": "count"}).collect()
+    assert {r.capacity for r in got} == set(P.CAPACITIES)
+
+
+def test_encoding_of_long_texts_equals_the_plain_encoder(monkeypatch):
+    enc = T.tokenizer()
+    rng = random.Random(3)
+    alphabet = "ab'sdmtlvre 12.,#\n\t   ü漢🎉\x1c\x85 "
+    monkeypatch.setattr(T, "STEP", 50)
+    monkeypatch.setattr(T, "GAP", T.re.compile(f"[{T.BLANK}]{{3,}}"))
+    for _ in range(3000):
+        text = "".join(rng.choice(alphabet) * rng.choice((1, 1, 1, 2, 5)) for _ in range(rng.randrange(60)))
+        assert T.encode(enc, text).tolist() == enc.encode_ordinary(text)
+
+
+def test_gaps_and_words_of_any_length(spark):
+    enc = T.tokenizer()
+    texts = [" " * 1_000_000, "\n" * 1_000_000 + "end", "x" * 10_000_000, "some words and " * 700_000 + "\t" * 5000]
+    for text in texts:
+        assert enc.decode(T.encode(enc, text).tolist()) == text
+    rows = T.token_rows(spark.createDataFrame([*enumerate(texts)], DOCS).selectExpr("*", "1 AS ids", "2 AS length")).selectExpr("sum(length)").first()[0]
+    assert rows == sum(len(T.encode(enc, t)) + 1 for t in texts)
+
+
 @given(st.lists(st.integers(1, 40), max_size=120))
 @settings(max_examples=80, deadline=None)
 def test_segment_tree_best_fit(sizes):
