@@ -12,10 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meridian.functions.scalar import float_bits, leading_zeros, trailing_zeros
+from meridian.operators.rollup import lagged
 
 # Classes of the change of the delta as (prefix, prefix bits, payload bits), and the frame.
 CLASSES = [(0b10, 2, 7), (0b110, 3, 9), (0b1110, 4, 12), (0b1111, 4, 32)]
@@ -248,9 +249,8 @@ def frame_crc(content: bytes) -> int:
 
 def deltas(points: DataFrame, by: list[str]) -> DataFrame:
     """``delta`` and ``change`` (delta of the delta) of the times of each group, in order of arrival."""
-    w = Window.partitionBy(*by).orderBy("seq")
-    with_delta = points.withColumn("delta", F.col("ts") - F.lag("ts").over(w))
-    return with_delta.withColumn("change", F.col("delta") - F.lag("delta").over(w))
+    with_delta = lagged(points, by, "ts", "_before").withColumn("delta", F.col("ts") - F.col("_before"))
+    return lagged(with_delta, by, "delta", "_before").withColumn("change", F.col("delta") - F.col("_before")).drop("_before")
 
 
 def time_bits(points: DataFrame, by: list[str]) -> DataFrame:
@@ -264,9 +264,8 @@ def time_bits(points: DataFrame, by: list[str]) -> DataFrame:
 
 def value_xor(points: DataFrame, by: list[str]) -> DataFrame:
     """XOR of the bits of each value with the one before, and its leading and trailing zeros."""
-    w = Window.partitionBy(*by).orderBy("seq")
-    bits = points.withColumn("value_bits", float_bits("value"))
-    x = bits.withColumn("xor", F.col("value_bits").bitwiseXOR(F.lag("value_bits").over(w)))
+    bits = lagged(points.withColumn("value_bits", float_bits("value")), by, "value_bits", "_before")
+    x = bits.withColumn("xor", F.col("value_bits").bitwiseXOR(F.col("_before"))).drop("_before")
     return x.withColumns({"lead": leading_zeros(F.col("xor")), "tail": trailing_zeros(F.col("xor"))})
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridian.model import ALERT_COOLDOWN_SECONDS, MAX_CHUNK_SECONDS, MAX_POINTS_PER_CHUNK
+from meridian.operators.rollup import STRETCH
 
 
 def assign_chunks(points: DataFrame, max_points: int = MAX_POINTS_PER_CHUNK, max_seconds: int = MAX_CHUNK_SECONDS) -> DataFrame:
@@ -62,11 +63,21 @@ def cooldown(matches: DataFrame, seconds: int = ALERT_COOLDOWN_SECONDS) -> DataF
     fired, in order of ``seq`` with ts as the clock.
 
     A match at least ``seconds`` after everything before it fires for certain, so each rule falls
-    into independent bursts there, and only bursts are run through in order.
+    into independent bursts there, and only bursts are run through in order. Where bursts begin is found
+    stretch by stretch of ``seq``: each takes over the greatest time and the number of bursts of the ones before it.
     """
-    before = Window.partitionBy("rule_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    marked = matches.withColumn("_new", F.when(F.col("ts") - F.max("ts").over(before) < seconds, 0).otherwise(1))
-    bursts = marked.withColumn("_burst", F.sum("_new").over(Window.partitionBy("rule_id").orderBy("seq")))
+    columns = matches.columns
+    rows = matches.withColumn("_stretch", F.floor(F.col("seq") / STRETCH))
+    earlier = Window.partitionBy("rule_id").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("rule_id", "_stretch").orderBy("seq")
+    ends = rows.groupBy("rule_id", "_stretch").agg(F.max("ts").alias("_top"))
+    ends = ends.select("rule_id", "_stretch", F.max("_top").over(earlier).alias("_carried"))
+    latest = F.greatest(F.max("ts").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.col("_carried"))
+    marked = rows.join(ends, ["rule_id", "_stretch"]).withColumn("_new", F.when(F.col("ts") - latest < seconds, 0).otherwise(1))
+    counts = marked.groupBy("rule_id", "_stretch").agg(F.sum("_new").alias("_n"))
+    counts = counts.select("rule_id", "_stretch", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    bursts = marked.join(counts, ["rule_id", "_stretch"]).withColumn("_burst", F.col("_before") + F.sum("_new").over(inside))
+    bursts = bursts.select(*columns, "_new", "_burst")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         burst, last = None, 0

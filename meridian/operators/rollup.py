@@ -17,6 +17,18 @@ def _extremes(value: Column) -> tuple[Column, Column]:
     return F.coalesce(F.min(real), F.lit(float("inf"))), F.coalesce(F.max(real), F.lit(float("-inf")))
 
 
+def lagged(rows: DataFrame, by: list[str], column: str, name: str) -> DataFrame:
+    """Add ``name``: ``column`` of the row before, by ``seq`` in its group ``by``. Stretches of a group are ordered apart, and
+    the first row of each takes the last value of the stretch before, so no group is sorted in one task."""
+    rows = rows.withColumn("stretch", F.floor(F.col("seq") / STRETCH))
+    local = Window.partitionBy(*by, "stretch").orderBy("seq")
+    last = rows.groupBy(*by, "stretch").agg(F.max_by(F.struct(F.col(column).alias("v")), "seq").alias("last"))
+    last = last.withColumn("last", F.lag("last").over(Window.partitionBy(*by).orderBy("stretch"))).where("last is not null")
+    marked = rows.withColumn("_at", F.row_number().over(local)).withColumn(name, F.lag(column).over(local))
+    known = marked.join(last.withColumn("_at", F.lit(1)), [*by, "stretch", "_at"], "left")
+    return known.withColumn(name, F.when(F.col("_at") == 1, F.col("last.v")).otherwise(F.col(name))).select(*[c for c in rows.columns if c != "stretch"], name)
+
+
 def rollup(points: DataFrame, width: int = HOUR) -> DataFrame:
     """One record per series and window, whatever the order of arrival (partial aggregation, one shuffle)."""
     low, high = _extremes(F.col("value"))

@@ -1,12 +1,12 @@
 """Registered queries of the time-series engine and the SQL that states the same result.
 
 The ``events`` table is the point table: the event type is the series, the event id the order of arrival.
-Averages are rounded to six decimals on both sides, since sums of doubles depend on their order.
+Averages are compared in single precision on both sides, since sums of doubles depend on their order.
 """
 
 from __future__ import annotations
 
-import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +20,7 @@ from meridian.plans import planner
 from meridian.sources import feeds, synthetic
 from meridian.sources import lines as protocol
 from meridian.sources.points import EPOCH_SECONDS, event_points, insert_missing, scan, union_all
+from meridian.sources.shared import shared_folder
 from meridian.streaming import jobs
 
 QUERIES = {}
@@ -85,8 +86,8 @@ def query(name: str, sql: str | None = None):
 
 
 def rounded(df: DataFrame, *cols: str) -> DataFrame:
-    """Six decimals; the shift takes averages that end in exactly half a unit off the edge of rounding."""
-    return df.withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in cols or ["avg"]})
+    """Single precision: what a sum's order changes lies far below it."""
+    return df.withColumns({c: F.col(c).cast("float") for c in cols or ["avg"]})
 
 
 # -- scans -------------------------------------------------------------------------------------
@@ -123,7 +124,7 @@ def points_missing_from_grid(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _rollup_sql(width: int) -> str:
-    return f"""WITH {P} SELECT series, ts - ts % {width} AS window_start, round(sum(value) / count(*) + 1e-9, 6) AS avg, min(value) AS min, max(value) AS max,
+    return f"""WITH {P} SELECT series, ts - ts % {width} AS window_start, CAST(sum(value) / count(*) AS FLOAT) AS avg, min(value) AS min, max(value) AS max,
 count(*) AS count FROM p GROUP BY ALL"""
 
 
@@ -137,38 +138,38 @@ def daily_rollup(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(rollup.rollup(event_points(spark, sf), DAY))
 
 
-@query("hourly_rollup_runs", f"WITH {RUNS} SELECT series, run, window_start, round(avg + 1e-9, 6) AS avg, min, max, count, closed FROM f")
+@query("hourly_rollup_runs", f"WITH {RUNS} SELECT series, run, window_start, CAST(avg AS FLOAT) AS avg, min, max, count, closed FROM f")
 def hourly_rollup_runs(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(rollup.arrival_runs(event_points(spark, sf)))
 
 
-@query("hourly_closed", f"WITH {RUNS} SELECT series, window_start, round(avg + 1e-9, 6) AS avg, min, max, count FROM f WHERE closed")
+@query("hourly_closed", f"WITH {RUNS} SELECT series, window_start, CAST(avg AS FLOAT) AS avg, min, max, count FROM f WHERE closed")
 def hourly_closed(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(rollup.hourly(event_points(spark, sf))).drop("run", "closed")
 
 
-@query("hourly_flushed", f"WITH {RUNS} SELECT series, window_start, round(avg + 1e-9, 6) AS avg, min, max, count FROM f")
+@query("hourly_flushed", f"WITH {RUNS} SELECT series, window_start, CAST(avg AS FLOAT) AS avg, min, max, count FROM f")
 def hourly_flushed(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(rollup.hourly(event_points(spark, sf), include_open=True)).drop("run", "closed")
 
 
-@query("daily_complete_days", f"WITH {RUNS}, {_days('closed')} SELECT series, window_start, round(avg + 1e-9, 6) AS avg, min, max, count FROM days")
+@query("daily_complete_days", f"WITH {RUNS}, {_days('closed')} SELECT series, window_start, CAST(avg AS FLOAT) AS avg, min, max, count FROM days")
 def daily_complete_days(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(rollup.daily(rollup.hourly(event_points(spark, sf))))
 
 
-@query("daily_complete_flushed", f"WITH {RUNS}, {_days('true')} SELECT series, window_start, round(avg + 1e-9, 6) AS avg, min, max, count FROM days")
+@query("daily_complete_flushed", f"WITH {RUNS}, {_days('true')} SELECT series, window_start, CAST(avg AS FLOAT) AS avg, min, max, count FROM days")
 def daily_complete_flushed(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(rollup.daily(rollup.hourly(event_points(spark, sf), include_open=True)))
 
 
-@query("daily_from_hourly", f"""WITH {RUNS} SELECT series, window_start - window_start % 86400 AS window_start, round(sum(avg * count) / sum(count) + 1e-9, 6) AS avg,
+@query("daily_from_hourly", f"""WITH {RUNS} SELECT series, window_start - window_start % 86400 AS window_start, CAST(sum(avg * count) / sum(count) AS FLOAT) AS avg,
 min(min) AS min, max(max) AS max, CAST(sum(count) AS BIGINT) AS count FROM f GROUP BY ALL""")
 def daily_from_hourly(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(rollup.merge_up(rollup.hourly(event_points(spark, sf), include_open=True)))
 
 
-@query("hours_of_day", f"WITH {RUNS} SELECT series, window_start, round(avg + 1e-9, 6) AS avg, count FROM f WHERE closed AND window_start >= {T0 + 3 * DAY} AND window_start < {T0 + 4 * DAY}")
+@query("hours_of_day", f"WITH {RUNS} SELECT series, window_start, CAST(avg AS FLOAT) AS avg, count FROM f WHERE closed AND window_start >= {T0 + 3 * DAY} AND window_start < {T0 + 4 * DAY}")
 def hours_of_day(spark: SparkSession, sf: str) -> DataFrame:
     hours = rollup.hourly(event_points(spark, sf))
     return rounded(hours.where((F.col("window_start") >= T0 + 3 * DAY) & (F.col("window_start") < T0 + 4 * DAY))).select("series", "window_start", "avg", "count")
@@ -193,39 +194,54 @@ def overlap_daily(spark: SparkSession, sf: str) -> DataFrame:
 def _plan(spark: SparkSession, sf: str, start: int, end: int, f=planner.plan) -> DataFrame:
     points = event_points(spark, sf)
     hours = rollup.hourly(points)
-    return rounded(f(points, hours, rollup.daily(hours), SERIES, start, end), "value").fillna(0, ["min", "max", "count"])
+    return f(points, hours, rollup.daily(hours), SERIES, start, end)
 
 
-def _plan_sql(start: int, end: int) -> str:
+def _plan_sql(start: int, end: int, columns: str = "min, max, count") -> str:
     w = end - start
+    columns = f", {columns}" if columns else ""
     return f"""WITH {RUNS}, {_days('closed')},
 u AS (
   SELECT 0 AS rank, 'raw' AS tier, ts AS at_time, value, CAST(NULL AS DOUBLE) AS min, CAST(NULL AS DOUBLE) AS max, CAST(NULL AS BIGINT) AS count
   FROM p WHERE series = '{SERIES}' AND ts BETWEEN {start} AND {end}
   UNION ALL SELECT 1, 'hourly', window_start, avg, min, max, count FROM f WHERE closed AND {w} >= 10800 AND series = '{SERIES}' AND window_start + 3600 > {start} AND window_start <= {end}
   UNION ALL SELECT 2, 'daily', window_start, avg, min, max, count FROM days WHERE {w} >= 172800 AND series = '{SERIES}' AND window_start + 3600 > {start} AND window_start <= {end})
-SELECT tier, at_time AS "at", round(value + 1e-9, 6) AS value, coalesce(min, 0) AS min, coalesce(max, 0) AS max, coalesce(count, 0) AS count FROM u WHERE rank = (SELECT max(rank) FROM u)"""
+SELECT tier, at_time AS "at", CAST(value AS FLOAT) AS value{columns} FROM u WHERE rank = (SELECT max(rank) FROM u)"""
 
 
-for _name, _start, _end in [
-    ("planner_raw", T0, T0 + 10799),
-    ("planner_hourly_at_threshold", T0, T0 + 10800),
-    ("planner_hourly", T0, T0 + 172799),
-    ("planner_daily", T0, T1),
-    ("planner_daily_at_threshold", T0 + 4 * DAY, T0 + 6 * DAY),
-    ("planner_after_the_end", T1 + 60 * DAY, T1 + 90 * DAY),
+ALL, RAW = ("tier", "at", "value", "min", "max", "count"), ("tier", "at", "value")  # raw points have no extremes
+
+for _name, _start, _end, _columns in [
+    ("planner_raw", T0, T0 + 10799, RAW),
+    ("planner_hourly_at_threshold", T0, T0 + 10800, ALL),
+    ("planner_hourly", T0, T0 + 172799, ALL),
+    ("planner_daily", T0, T1, ALL),
+    ("planner_daily_at_threshold", T0 + 4 * DAY, T0 + 6 * DAY, ALL),
+    ("planner_after_the_end", T1 + 60 * DAY, T1 + 90 * DAY, RAW),
 ]:
-    query(_name, _plan_sql(_start, _end))(lambda spark, sf, a=_start, b=_end: _plan(spark, sf, a, b))
+    query(_name, _plan_sql(_start, _end, ", ".join(_columns[3:])))(
+        lambda spark, sf, a=_start, b=_end, columns=_columns: rounded(_plan(spark, sf, a, b), "value").select(*columns)
+    )
 
 
 @query("planner_fallback", _plan_sql(T0, T1))
 def planner_fallback(spark: SparkSession, sf: str) -> DataFrame:
-    return _plan(spark, sf, T0, T1)
+    return rounded(_plan(spark, sf, T0, T1), "value")
+
+
+@query("planner_stored_tiers", _plan_sql(T0 + 1800, T0 + 172000))
+def planner_stored_tiers(spark: SparkSession, sf: str) -> DataFrame:
+    """The planner over hourly and daily records that a stream has stored."""
+    folder = shared_folder(spark, "tiers")
+    with _rocks(spark):
+        jobs.store_tiers(_event_stream(spark, sf), f"{folder}/records", f"{folder}/checkpoint").awaitTermination()
+    hours, days = jobs.read_tiers(spark, f"{folder}/records")
+    return rounded(planner.plan(event_points(spark, sf), hours, days, SERIES, T0 + 1800, T0 + 172000), "value")
 
 
 @query("planner_one_plan", _plan_sql(T0, T1))
 def planner_one_plan(spark: SparkSession, sf: str) -> DataFrame:
-    return _plan(spark, sf, T0, T1, planner.plan_in_one)
+    return rounded(_plan(spark, sf, T0, T1, planner.plan_in_one), "value")
 
 
 @query("planner_on_read", f"""WITH {P} SELECT 'daily' AS tier, ts - ts % 86400 AS "at", round(sum(value) / count(*), 2) AS value, round(min(value), 2) AS min, round(max(value), 2) AS max, count(*) AS count
@@ -280,9 +296,12 @@ def codec_sizes(spark: SparkSession, sf: str) -> DataFrame:
     return codec.sizes(codec.encode(assign_chunks(event_points(spark, sf))))
 
 
-@query("value_windows")
+@query("value_windows", f"""WITH {P}, x AS (SELECT series, CAST(xor(CAST(value AS BIT), lag(CAST(value AS BIT)) OVER (PARTITION BY series ORDER BY seq)) AS VARCHAR) AS b FROM p)
+SELECT series, CASE WHEN strpos(b, '1') = 0 THEN 64 ELSE strpos(b, '1') - 1 END AS lead, CASE WHEN strpos(b, '1') = 0 THEN 64 ELSE strpos(reverse(b), '1') - 1 END AS tail,
+count(*) AS points FROM x WHERE b IS NOT NULL GROUP BY ALL""")
 def value_windows(spark: SparkSession, sf: str) -> DataFrame:
-    return codec.value_xor(event_points(spark, sf), ["series"]).groupBy("series", "lead", "tail").agg(F.count("*").alias("points"))
+    windows = codec.value_xor(event_points(spark, sf), ["series"]).where("xor is not null")
+    return windows.groupBy("series", F.col("lead").cast("long").alias("lead"), F.col("tail").cast("long").alias("tail")).agg(F.count("*").alias("points"))
 
 
 @query("codec_benchmark")
@@ -330,8 +349,8 @@ def tail_last_200(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("chart_scaled", f"""WITH {P}, c AS (SELECT * FROM p WHERE series = '{SERIES}' AND ts BETWEEN {T0} AND {T0 + DAY})
-SELECT ts, value, round((value - min(value) OVER ()) / (max(value) OVER () - min(value) OVER ()) + 1e-9, 6) AS y,
-       round(CAST(ts - min(ts) OVER () AS DOUBLE) / (max(ts) OVER () - min(ts) OVER ()) + 1e-9, 6) AS x FROM c""")
+SELECT ts, value, CAST((value - min(value) OVER ()) / (max(value) OVER () - min(value) OVER ()) AS FLOAT) AS y,
+       CAST(CAST(ts - min(ts) OVER () AS DOUBLE) / (max(ts) OVER () - min(ts) OVER ()) AS FLOAT) AS x FROM c""")
 def chart_scaled(spark: SparkSession, sf: str) -> DataFrame:
     points = scan(event_points(spark, sf, SERIES, T0, T0 + DAY), SERIES, T0, T0 + DAY)
     return rounded(catalog.chart(points), "x", "y").select("ts", "value", "y", "x")
@@ -414,6 +433,12 @@ def result_json(spark: SparkSession, sf: str) -> DataFrame:
     return render.result_json(_plan(spark, sf, T0, T1), SERIES)
 
 
+@query("result_json_raw", f"""WITH {P}, r AS (SELECT ts, value FROM p WHERE series = '{SERIES}' AND ts BETWEEN {T0} AND {T0 + 10799})
+SELECT '{{"series":"{SERIES}","tier":"raw","points":[' || string_agg('{{"ts":' || ts || ',"value":' || value || '}}', ',' ORDER BY ts, value) || '],"count":' || count(*) || '}}' AS json FROM r HAVING count(*) > 0""")
+def result_json_raw(spark: SparkSession, sf: str) -> DataFrame:
+    return render.result_json(_plan(spark, sf, T0, T0 + 10799), SERIES)
+
+
 @query("posted_json", "SELECT event_type AS series, event_id AS seq, CAST(floor(epoch(ts)) AS BIGINT) AS ts, CAST(json_extract(props, '$.k') AS DOUBLE) AS value FROM events")
 def posted_json(spark: SparkSession, sf: str) -> DataFrame:
     events = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "event_type", "ts", "props")
@@ -436,7 +461,7 @@ def _demo_sql() -> str:
     rows = []
     for name, offset, terms in synthetic.DEMO_CURVES:
         curve = " + ".join([repr(offset), *[f"{a} * {f}(i * 0.05 * {s})" for a, f, s in terms]])
-        rows.append(f"SELECT '{name}' AS series, CAST(2 * i AS BIGINT) AS ts, round({curve} + 1e-9, 6) AS value FROM t")
+        rows.append(f"SELECT '{name}' AS series, CAST(2 * i AS BIGINT) AS ts, CAST({curve} AS FLOAT) AS value FROM t")
     return "WITH t AS (SELECT unnest(range(0, 500)) AS i) " + " UNION ALL ".join(rows)
 
 
@@ -467,33 +492,44 @@ def scalar_functions(spark: SparkSession, sf: str) -> DataFrame:
 # -- streams -----------------------------------------------------------------------------------
 
 
-def _stream(spark: SparkSession, sf: str, build) -> DataFrame:
-    """Run a stream over the events until its input ends, and return what it emitted."""
-    name = f"stream_{uuid.uuid4().hex}"
+def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/events.parquet*")
-    points = events.select(F.col("event_type").alias("series"), F.expr(EPOCH_SECONDS.format("ts")).alias("ts"), "value", F.col("event_id").alias("seq"))
+    return events.select(F.col("event_type").alias("series"), F.expr(EPOCH_SECONDS.format("ts")).alias("ts"), "value", F.col("event_id").alias("seq"))
+
+
+@contextmanager
+def _rocks(spark: SparkSession):
+    """The state store that the stateful jobs need."""
     key, rocks = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     before = spark.conf.get(key, None)
     spark.conf.set(key, rocks)
     try:
-        running = build(points).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-        running.awaitTermination()
+        yield
     finally:
         if before is None:
             spark.conf.unset(key)
         else:
             spark.conf.set(key, before)
-    return spark.table(name)
 
 
-@query("stream_arrival_rollup", f"""WITH {RUNS}, {_days('closed')} SELECT series, 'hourly' AS tier, window_start, round(avg + 1e-9, 6) AS avg, min, max, count FROM f WHERE closed
-UNION ALL SELECT series, 'daily', window_start, round(avg + 1e-9, 6), min, max, count FROM days""")
+def _stream(spark: SparkSession, sf: str, build) -> DataFrame:
+    """Run a stream over the events until its input ends, and return what it wrote."""
+    folder = shared_folder(spark, "stream")
+    made = build(_event_stream(spark, sf))
+    with _rocks(spark):
+        sink = made.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint")
+        sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(made.schema).parquet(f"{folder}/rows")
+
+
+@query("stream_arrival_rollup", f"""WITH {RUNS}, {_days('closed')} SELECT series, 'hourly' AS tier, window_start, CAST(avg AS FLOAT) AS avg, min, max, count FROM f WHERE closed
+UNION ALL SELECT series, 'daily', window_start, CAST(avg AS FLOAT), min, max, count FROM days""")
 def stream_arrival_rollup(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_stream(spark, sf, jobs.arrival_rollup))
 
 
-@query("stream_watermark_rollup", f"""WITH {P}, h AS (SELECT series, ts - ts % 3600 AS window_start, round(sum(value) / count(*) + 1e-9, 6) AS avg, min(value) AS min, max(value) AS max, count(*) AS count
+@query("stream_watermark_rollup", f"""WITH {P}, h AS (SELECT series, ts - ts % 3600 AS window_start, CAST(sum(value) / count(*) AS FLOAT) AS avg, min(value) AS min, max(value) AS max, count(*) AS count
 FROM p GROUP BY ALL) SELECT * FROM h WHERE window_start + 3600 <= (SELECT max(ts) FROM p) - 3600""")
 def stream_watermark_rollup(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_stream(spark, sf, jobs.watermark_rollup))

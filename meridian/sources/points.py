@@ -33,21 +33,31 @@ def event_points(spark: SparkSession, sf_dir: str, series: str | None = None, st
 
 
 def read_points(spark: SparkSession, path: str) -> DataFrame:
-    """A point table written by ``write_points``."""
-    return spark.read.parquet(path).select([f.name for f in POINTS])
+    """A point table written by ``write_points``, with its ``day``, so that ``scan`` prunes days."""
+    return spark.read.parquet(path).select([f.name for f in POINTS] + ["day"])
 
 
-def write_points(points: DataFrame, path: str, mode: str = "append") -> None:
-    """Append points as Parquet by day, clustered by series: range queries prune days, and the sort
-    lets row groups of other series be skipped without a folder per series."""
-    (
-        points.withColumn("day", F.floor(F.col("ts") / DAY).cast("int"))
-        .repartition("day", "series")
-        .sortWithinPartitions("day", "series", "ts")
-        .write.mode(mode)
-        .partitionBy("day")
-        .parquet(path)
-    )
+def write_points(points: DataFrame, path: str, mode: str = "append", batch: int | None = None) -> None:
+    """Add points as Parquet by day, clustered by series: range queries prune days, and the sort lets row
+    groups of other series be skipped without a folder per series. Rows are dealt by ranges, so a
+    series with a third of a day's points is many tasks. Points of a numbered ``batch`` go to folders of its own,
+    which a repeated write of the same batch replaces: a retry stores nothing twice."""
+    rows = with_day(points).repartitionByRange("day", "series", "ts").sortWithinPartitions("day", "series", "ts")
+    if batch is None:
+        rows.withColumn("batch", F.lit(-1).cast("long")).write.mode(mode).partitionBy("day", "batch").parquet(path)
+    else:
+        rows = rows.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        rows.partitionBy("day", "batch").parquet(path)
+
+
+def with_day(points: DataFrame) -> DataFrame:
+    """``points`` with the number of the day that their table is partitioned by."""
+    return points.select([f.name for f in POINTS]).withColumn("day", F.floor(F.col("ts") / DAY).cast("int"))
+
+
+def like(fresh: DataFrame, points: DataFrame) -> DataFrame:
+    """``fresh`` points with the columns of a table of points."""
+    return (with_day(fresh) if "day" in points.columns else fresh).select(points.columns)
 
 
 def scan(points: DataFrame, series: str, start: int, end: int) -> DataFrame:
@@ -68,4 +78,4 @@ def union_all(*parts: DataFrame) -> DataFrame:
 
 def insert_missing(points: DataFrame, fresh: DataFrame) -> DataFrame:
     """``points`` and those of ``fresh`` whose (series, ts) is not there yet."""
-    return points.unionByName(fresh.join(points.select("series", "ts"), ["series", "ts"], "left_anti").select(points.columns))
+    return points.unionByName(like(fresh.join(points.select("series", "ts"), ["series", "ts"], "left_anti"), points))

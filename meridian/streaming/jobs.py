@@ -24,11 +24,15 @@ def point_stream(spark: SparkSession, path: str, files_per_trigger: int | None =
 
 
 def ingest(points: DataFrame, path: str, checkpoint: str, fan_out=None) -> StreamingQuery:
-    """Append points to a point table, then hand the batch to ``fan_out(batch, id)``; the checkpoint is the write-ahead log."""
+    """Add points to a point table, then hand the batch to ``fan_out(batch, id)``; the checkpoint is the write-ahead log.
+
+    A batch that is run again after a failure replaces its own part of the table; ``fan_out`` then gets the
+    same rows with the same id again and must take it as a key.
+    """
 
     def store(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
-        write_points(batch, path)
+        write_points(batch, path, batch=batch_id)
         if fan_out is not None:
             fan_out(batch, batch_id)
         batch.unpersist()
@@ -98,6 +102,33 @@ def arrival_rollup(points: DataFrame) -> DataFrame:
     )
 
 
+TIERS = ["series", "tier", "window_start", "avg", "min", "max", "count"]
+
+
+def store_tiers(points: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Add every hourly and daily record to a table when its window closes. State and table follow one checkpoint:
+    a batch that is run again replaces its own records."""
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.select(TIERS).withColumn("batch", F.lit(batch_id).cast("long"))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tier", "batch").parquet(path)
+
+    stream = arrival_rollup(points).writeStream.outputMode("append").foreachBatch(store)
+    return stream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_tiers(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The hourly and the daily records that ``store_tiers`` wrote, as the planner takes them."""
+    schema = "series string, window_start long, avg double, min double, max double, count long, tier string, batch long"
+    stored = spark.read.schema(schema).parquet(path)
+    return tuple(stored.where(F.col("tier") == t).drop("tier", "batch") for t in ("hourly", "daily"))
+
+
+def tail_many(points: DataFrame, subscribers: DataFrame) -> DataFrame:
+    """What each of many subscribers ``(subscriber, series)`` follows: a stream-static join on the series."""
+    return points.join(subscribers, "series").select("subscriber", "series", "ts", "value")
+
+
 def tail(points: DataFrame, series: str) -> DataFrame:
     """Points of one series from now on: a filter on the stream."""
     return points.where(F.col("series") == series).select("ts", "value")

@@ -1,6 +1,7 @@
 """Reference behaviour of the time-series engine: rollups, planner, alerts, protocol, catalog."""
 
 import math
+import random
 
 import pytest
 
@@ -114,8 +115,7 @@ def test_range_is_closed_and_keeps_duplicates(spark):
 def test_point_table_prunes_days(spark, tmp_path):
     p = table(spark, [("s", d * DAY + 5, d) for d in range(10)])
     points.write_points(p, str(tmp_path / "t"))
-    stored = spark.read.parquet(str(tmp_path / "t"))
-    hit = points.scan(stored, "s", 3 * DAY, 4 * DAY - 1)
+    hit = points.scan(points.read_points(spark, str(tmp_path / "t")), "s", 3 * DAY, 4 * DAY - 1)
     plan = hit._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(day" in plan and "PushedFilters: [IsNotNull(series)" in plan
     assert [r.value for r in hit.collect()] == [3.0]
@@ -293,3 +293,54 @@ def test_alert_lines_parse(spark):
     df = spark.createDataFrame([("ALERT rule_1,s,95.5,>,90,7",), ("ALERT rule_1,s,95.5,>,90",), ("ALERT a,b",)], "value string")
     assert [(r.rule_id, r.value, r.timestamp) for r in lines.parse_alert_lines(df, F.lit(3).cast("long")).collect()] == [("rule_1", 95.5, 7), ("rule_1", 95.5, 3)]
     assert alerts.trigger_for_test(spark, "", 5).first().series == "test_metric"
+
+
+def test_session_answers_in_order(spark):
+    script = ["QUERY s 1 9", "WRITE s 5 1.5", "QUERY s 1 9", "TAIL s", "WRITE s 6 2", "WRITE t 7 1", "QUERY s 1 9"]
+    by = {}
+    for r in Engine(table(spark, [])).run(spark.createDataFrame(list(enumerate(script)), "seq long, value string")).collect():
+        by.setdefault(r.seq, []).append(r.line)
+    assert by[0] == ["END"] and sorted(by[2]) == ["5,1.5", "END"] and by[3] == ["6,2"] and sorted(by[6]) == ["5,1.5", "6,2", "END"]
+
+
+def test_write_keeps_stored_tiers(spark, tmp_path):
+    p = table(spark, [("s", 5, 1.0)])
+    hours = rollup.rollup(table(spark, [("s", 3600 * i, 7.0) for i in range(20)]))
+    e = Engine(p, hours, rollup.merge_up(hours).limit(0)).write(table(spark, [("s", 9, 2.0)]))
+    assert {r.tier for r in e.query("s", 0, 20_000).collect()} == {"hourly"} and e.query("s", 0, 100).count() == 2
+    points.write_points(p, str(tmp_path / "t"))
+    grown = Engine(points.read_points(spark, str(tmp_path / "t"))).write(table(spark, [("s", 9, 2.0)]))
+    assert sorted(r.value for r in grown.query("s", 0, 100).collect()) == [1.0, 2.0]
+
+
+def test_rules_by_the_facade(spark):
+    e = Engine(table(spark, [("s", 5, 95.0)])).add_rule("s", ">", 90.0).add_rule("s", "<", 1.0)
+    ids = [r.id for r in e.list_rules().collect()]
+    assert len(ids) == len(set(ids)) == len(alerts.DEFAULT_RULES) + 2
+    (fired,) = e.alerts().collect()
+    assert e.delete_rule(fired.rule_id).alerts().count() == 0
+    with pytest.raises(ValueError):
+        e.add_rule("s", "!=", 1.0)
+
+
+def test_a_repeated_batch_is_stored_once(spark, tmp_path):
+    rows = [("s", 86_400 * (i % 3) + i, float(i)) for i in range(30)]
+    for batch, some in ((0, rows[:20]), (1, rows[20:]), (0, rows[:20])):
+        points.write_points(table(spark, some), str(tmp_path / "t"), batch=batch)
+    assert sorted(r.value for r in points.read_points(spark, str(tmp_path / "t")).collect()) == [float(i) for i in range(30)]
+
+
+def test_lags_and_bursts_across_stretches(spark, monkeypatch):
+    from meridian.operators import codec, folds
+
+    rng = random.Random(1)
+    rows = [(s, rng.randrange(1000), float(rng.randrange(9))) for s in "ab" for _ in range(150)]
+    p = table(spark, rows)
+    whole = lambda: (
+        sorted((r.series, r.seq, r.delta, r.change) for r in codec.deltas(p, ["series"]).collect() if r.change is not None),
+        sorted((r.series, r.seq) for r in folds.cooldown(p.withColumnRenamed("series", "rule_id").withColumn("series", F.lit("x")), 40).select(F.col("rule_id").alias("series"), "seq").collect()),
+    )
+    want = whole()
+    monkeypatch.setattr(rollup, "STRETCH", 7)
+    monkeypatch.setattr(folds, "STRETCH", 7)
+    assert whole() == want

@@ -52,5 +52,28 @@ def test_ingest_stores_and_fans_out(spark, feed, tmp_path):
     seen = []
     q = jobs.ingest(jobs.point_stream(spark, folder, 1), str(tmp_path / "t"), str(tmp_path / "c"), lambda batch, i: seen.append(batch.count()))
     q.awaitTermination()
-    assert sum(seen) == 600 and read_points(spark, str(tmp_path / "t")).exceptAll(points).isEmpty()
+    assert sum(seen) == 600 and read_points(spark, str(tmp_path / "t")).drop("day").exceptAll(points).isEmpty()
     assert finish(jobs.tail(jobs.point_stream(spark, folder), "s1"), "tailed").count() == 300
+
+
+def test_stored_tiers_grow_once(spark, feed, tmp_path):
+    """Records are stored as windows close; a batch that is run again stores nothing twice."""
+    folder, points = feed
+    t, c = str(tmp_path / "t"), str(tmp_path / "c")
+    jobs.store_tiers(jobs.point_stream(spark, folder, 1), t, c).awaitTermination()
+    last = max((tmp_path / "c" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    last.unlink()  # as after a crash between the sink and the commit
+    (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
+    jobs.store_tiers(jobs.point_stream(spark, folder, 1), t, c).awaitTermination()
+    hours, days = jobs.read_tiers(spark, t)
+    key = lambda r: (r.series, r.window_start, round(r.avg, 9), r["count"])
+    want = rollup.hourly(points)
+    assert sorted(key(r) for r in hours.collect()) == sorted(key(r) for r in want.collect())
+    assert sorted(key(r) for r in days.collect()) == sorted(key(r) for r in rollup.daily(want).collect())
+
+
+def test_many_subscribers(spark, feed):
+    folder, points = feed
+    who = spark.createDataFrame([("a", "s0"), ("b", "s1"), ("c", "s1"), ("d", "none")], "subscriber string, series string")
+    got = finish(jobs.tail_many(jobs.point_stream(spark, folder), who), "followed").groupBy("subscriber").count().collect()
+    assert {r[0]: r[1] for r in got} == {"a": 300, "b": 300, "c": 300}
