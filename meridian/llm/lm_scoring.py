@@ -28,9 +28,10 @@ PART_KEYS = 2_000_000
 #: Spark's own limit of buckets (spark.sql.sources.bucketing.maxBuckets) that blocks and totals are dealt to; a
 #: bucket works off its blocks one by one, so beyond it tasks get longer, not larger.
 MOST_BUCKETS = 100_000
+BUCKET_BLOCKS = 4
 EM_ROUNDS = 20
-#: Steps per octave in which relative frequencies are told apart when the weights are learned.
-GRID = 16
+#: Steps per octave in which relative frequencies (trigram, bigram, unigram) are told apart when the weights are learned.
+GRID = (4, 4, 4)
 #: Bits of a bigram's or trigram's hash beyond those that number the tokens: one n-gram in 2^24 meets another's.
 SPARE_BITS = 24
 UNI, BI, TRI = 0, 1, 2
@@ -280,12 +281,12 @@ def _frequencies(b: Block, words: np.ndarray, pairs: np.ndarray, triples: np.nda
     return _bucket(c2, c1), f
 
 
-CELLS = "bucket int, g3 int, g2 int, g1 int, f3 double, f2 double, f1 double, n double"
+CELLS = "cell long, f3 float, f2 float, f1 float, n long"
 
 
 def held_out_cells(tokens: list[int], parts: dict[int, int], bits: int):
     """cogroup body: the tokens of one training fold under the relative frequencies of the other,
-    gathered by bucket and by the frequencies on a grid of 1/GRID octaves (their means are kept)."""
+    gathered by bucket (cell >> 33) and by the frequencies on a grid of 1/GRID octaves (their sums are kept)."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         b = Block(left.to_pylist()[0], bits)
@@ -297,17 +298,16 @@ def held_out_cells(tokens: list[int], parts: dict[int, int], bits: int):
             got.append((bucket[pick], *[x[pick] for x in f]))
         bucket, *f = (np.concatenate(x) for x in zip(*got, strict=True))
         code = bucket
-        for x in f:  # eleven bits each; 1 stands for a frequency of zero
-            code = (code << 11) | (np.where(x > 0, np.round(np.log2(np.maximum(x, 1e-18)) * GRID), 1).astype(np.int64) + 1024)
+        for x, steps in zip(f, GRID, strict=True):  # eleven bits each; 1 stands for a frequency of zero
+            code = (code << 11) | (np.where(x > 0, np.round(np.log2(np.maximum(x, 1e-18)) * steps), 1).astype(np.int64) + 1024)
         cell, inverse = np.unique(code, return_inverse=True)
         n = len(cell)
         cols = [
-            pa.array((cell >> 33).astype(np.int32)),
-            *[pa.array((cell >> s & 0x7FF).astype(np.int32)) for s in (22, 11, 0)],
-            *[pa.array(np.bincount(inverse, weights=x, minlength=n).astype(float)) for x in f],
-            pa.array(np.bincount(inverse, minlength=n).astype(float)),
+            pa.array(cell),
+            *[pa.array(np.bincount(inverse, weights=x, minlength=n).astype(np.float32)) for x in f],
+            pa.array(np.bincount(inverse, minlength=n)),
         ]
-        return pa.Table.from_arrays(cols, names=["bucket", "g3", "g2", "g1", "f3", "f2", "f1", "n"])
+        return pa.Table.from_arrays(cols, names=["cell", "f3", "f2", "f1", "n"])
 
     return run
 
@@ -391,7 +391,9 @@ def score_documents(
     fold = F.when(F.coalesce(out, F.lit(False)), F.lit(HELD_OUT)).otherwise((F.floor(crc / 5) % 2).cast("int"))
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), fold.alias("fold"), F.col(text_col).cast("string").alias("text"))
     about = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, min(MOST_BUCKETS, -(-about // (6 * block_tokens))))
+    expected = -(-about // (6 * block_tokens))
+    # a task takes BUCKET_BLOCKS blocks or so, whose cells are added up before they are shuffled, while there are tasks for all cores
+    buckets = max(1, min(MOST_BUCKETS, max(min(expected, docs.sparkSession.sparkContext.defaultParallelism), expected // BUCKET_BLOCKS)))
     blocks = bucketed(block_table(narrow, block_tokens), "blocks", "block", buckets)
     size = blocks.agg(F.sum("tokens")).first()[0] or 0
     parts, bits = {kind: max(1, -(-size // (part_keys * (2 if kind == UNI else 1)))) for kind in KINDS}, hash_bits(size)
@@ -403,7 +405,8 @@ def score_documents(
     answers = replies.where("block is not null").select("kind", "part", "block", "a", "b")
     both = blocks.groupBy("block").cogroup(answers.groupBy("block"))
     cells = both.applyInArrow(held_out_cells(tokens, parts, bits), CELLS)
-    cells = cells.groupBy("bucket", "g3", "g2", "g1").agg(*[(F.sum(f) / F.sum("n")).alias(f) for f in ("f3", "f2", "f1")], F.sum("n").alias("n"))
+    cells = cells.groupBy("cell").agg(*[(F.sum(f) / F.sum("n")).alias(f) for f in ("f3", "f2", "f1")], F.sum("n").alias("n"))
+    cells = cells.withColumn("bucket", F.shiftright("cell", 33).cast("int"))
     cells = materialize(cells, "held-out")
     weights = learn_weights(cells, 1 / (types + 1))
     scored = both.applyInArrow(score_blocks(types, tokens, parts, bits, weights), SCORES)
