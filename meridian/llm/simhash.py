@@ -357,7 +357,8 @@ def similar_links(docs: DataFrame, id_col: str, text_col: str, shingle: int = 5,
     pairs = materialize(parts.join(least, "key").where("id > other").select("id", "other").distinct(), "candidates")
     wanted = pairs.select("id").unionByName(pairs.select(F.col("other").alias("id"))).distinct()
     sets = materialize(over_texts(whole, "id long, shingles binary")(rows.join(wanted, "id", "left_semi").select("id", "text")), "shingles")
-    both = pairs.join(sets, "id").join(sets.select(F.col("id").alias("other"), F.col("shingles").alias("others")), "other")
+    # the candidates of one least document meet as narrow rows only; its set then goes to each of them
+    both = pairs.join(sets.select(F.col("id").alias("other"), F.col("shingles").alias("others")), "other").join(sets, "id")
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
